@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("splitting", "leakage")
+MODULES = ("splitting", "leakage", "similar")
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("splitting", "leakage", "similar", "quality", "near_duplicates")
+MODULES = ("syntax", "similar", "splitting", "near_duplicates", "leakage", "quality")
 
 
 def queries() -> dict:

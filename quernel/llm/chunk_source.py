@@ -64,3 +64,30 @@ def load_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_files(table(spark, sf_dir, "files"))
+
+
+def file_sources(chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file_id, parts): the chunk texts of every file as an array of (start_byte, chunk_id, blob), unordered, repeats included.
+
+    Text is shuffled twice: to its chunk and to its file. A file is the unit of all that reads whole sources.
+    ``whole_source`` puts the parts in order. Chunks without a text or with null ids take no part.
+    """
+    places = chunks.select(F.col("id").alias("chunk_id"), "file_id", "start_byte").where("chunk_id is not null and file_id is not null")
+    joined = texts.select("chunk_id", "blob").where(F.col("blob").isNotNull()).join(places, "chunk_id")
+    return joined.groupBy("file_id").agg(F.collect_list(F.struct("start_byte", "chunk_id", "blob")).alias("parts"))
+
+
+def whole_source(parts) -> bytes:
+    """The parts of one file in start_byte order (null first, ties by chunk id), each chunk once."""
+    seen, out = set(), []
+    for p in sorted(parts, key=lambda p: (-1 if p["start_byte"] is None else p["start_byte"], p["chunk_id"])):
+        if p["chunk_id"] not in seen:
+            seen.add(p["chunk_id"])
+            out.append(bytes(p["blob"]))
+    return b"".join(out)
+
+
+def load_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, parts, repo_id, path, language, kind) of every file that is no tombstone."""
+    sources = file_sources(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_text"))
+    return sources.join(load_files(spark, sf_dir), "file_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("syntax", "similar", "splitting", "near_duplicates", "handwritten", "leakage", "quality")
+MODULES = ("syntax", "similar", "splitting", "near_duplicates", "handwritten", "packing", "leakage", "quality")
 
 
 def queries() -> dict:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quernel.operators.changefeed",)
+MODULES = (
+    "quernel.operators.changefeed",
+    "quernel.operators.history",
+    "quernel.operators.graph",
+)
 
 
 def queries() -> dict:

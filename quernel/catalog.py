@@ -8,6 +8,8 @@ MODULES = (
     "quernel.operators.changefeed",
     "quernel.operators.history",
     "quernel.operators.graph",
+    "quernel.operators.search",
+    "quernel.operators.clones",
 )
 
 

@@ -10,6 +10,8 @@ MODULES = (
     "quernel.operators.graph",
     "quernel.operators.search",
     "quernel.operators.clones",
+    "quernel.operators.index",
+    "quernel.operators.evidence",
 )
 
 

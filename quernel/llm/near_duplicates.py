@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -98,15 +99,30 @@ class Signer:
         return (k ^ (k >> np.uint64(31))).view(np.int64)
 
 
-SIGNED = "id bigint, class bigint, members int, keys array<bigint>, sketch binary, shingles binary"
+def class_of(shingles: np.ndarray) -> int:
+    """The class of a set: a 64-bit hash of its sorted shingles."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - 2**63
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Signatures (id, class, members, keys, sketch) of ``texts`` (id, blob), and what they were made with."""
+
+    signatures: DataFrame
+    texts: DataFrame
+    shingle: int
+    threshold: float
+
+
+SIGNED = "id bigint, class bigint, members int, keys array<bigint>, sketch binary"
 
 
 def signed(texts: DataFrame, shingle: int, threshold: float, members: int) -> DataFrame:
     """Signature rows of ``texts`` (id bigint, blob binary) with at least ``members`` distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         signer = Signer(shingle, threshold)
         for b in batches:
             for at in range(0, len(b), 512):
@@ -120,16 +136,14 @@ def signed(texts: DataFrame, shingle: int, threshold: float, members: int) -> Da
                     continue
                 starts = np.cumsum([0, *map(len, sets)])[:-1]
                 minima = signer.minima(np.concatenate(sets), starts)
-                sketch = np.ascontiguousarray(minima.reshape(len(ids), TREES, signer.depth)[:, :, 0])
-                blobs = [s.tobytes() for s in sets]
+                sketch = minima.astype(np.uint16)
                 yield pd.DataFrame(
                     {
                         "id": ids,
-                        "class": [xxhash.xxh3_64_intdigest(x, SEED) - 2**63 for x in blobs],
+                        "class": [class_of(s) for s in sets],
                         "members": [len(s) for s in sets],
                         "keys": list(signer.keys(minima)),
                         "sketch": [x.tobytes() for x in sketch],
-                        "shingles": blobs,
                     }
                 )
 
@@ -137,25 +151,27 @@ def signed(texts: DataFrame, shingle: int, threshold: float, members: int) -> Da
     return ready.mapInPandas(run, SIGNED)
 
 
-def _hot_pairs(members: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+def least_agreement(threshold: float, minima: int) -> float:
+    """Share of equal minima below which a pair is at least ``SLACK`` standard errors under the threshold."""
+    return threshold - SLACK * (threshold * (1 - threshold) / minima) ** 0.5
+
+
+def _hot_pairs(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs of the classes of large nodes, block against block, that size and sketch allow."""
-    least = threshold - SLACK * (threshold * (1 - threshold) / TREES) ** 0.5
     blocked = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class").distinct()
-    sketches = signatures.join(broadcast_if_small(members.select("class").distinct(), KEYS_BROADCAST), "class", "left_semi")
-    sketches = sketches.groupBy("class").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch"))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         i, j = int(own.i.iloc[0]), int(own.j.iloc[0])
         left, right = own[own.block == i], own[own.block == j]
-        s, t = (np.frombuffer(b"".join(map(bytes, x.sketch)), np.uint32).reshape(len(x), -1) for x in (left, right))
+        s, t = (np.frombuffer(b"".join(map(bytes, x.sketch)), np.uint16).reshape(len(x), -1) for x in (left, right))
         n, m = left.members.to_numpy(), right.members.to_numpy()
-        like = np.zeros((len(s), len(t)), np.float32)
+        like = np.zeros((len(s), len(t)), np.uint16)
         for c in range(s.shape[1]):
             like += s[:, c, None] == t[None, :, c]
         small, large = np.minimum(n[:, None], m[None]), np.maximum(n[:, None], m[None])
-        x, y = np.nonzero((like >= least * s.shape[1]) & (small >= threshold * large))
+        x, y = np.nonzero((like >= least_agreement(threshold, s.shape[1]) * s.shape[1]) & (small >= threshold * large - 1e-9))
         a, b = left["class"].to_numpy()[x], right["class"].to_numpy()[y]
         keep = a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
@@ -163,26 +179,52 @@ def _hot_pairs(members: DataFrame, signatures: DataFrame, threshold: float) -> D
     return pairs.join(sketches, "class").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def similar_classes(signatures: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): verified pairs a < b of classes; ``signatures`` is a table of ``signed`` rows."""
-    keyed = signatures.select("class", F.explode("keys").alias("key"))
+def _sets(forest: Forest, classes: DataFrame) -> DataFrame:
+    """(class, shingles) of the given classes, made again from one text of each."""
+    ids = forest.signatures.select("class", "id").join(broadcast_if_small(classes, KEYS_BROADCAST), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id")
+    texts = forest.texts.select("id", "blob").join(broadcast_if_small(spill_table(ids, "representatives"), KEYS_BROADCAST), "id", "left_semi")
+    shingle, threshold = forest.shingle, forest.threshold
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(shingle, threshold)
+        for b in batches:
+            sets = [signer.shingles(bytes(x)) for x in b.blob]
+            yield pd.DataFrame({"class": [class_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+    return texts.where("blob is not null").mapInPandas(run, "class bigint, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+
+
+def _agree(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            s, t = (np.frombuffer(b"".join(map(bytes, x)), np.uint16).reshape(len(b), -1) for x in (b.s, b.t))
+            b = b[(s == t).mean(1) >= least_agreement(threshold, s.shape[1])]
+        yield b[["a", "b"]]
+
+
+def similar_classes(forest: Forest) -> DataFrame:
+    """(a, b, similarity): verified pairs a < b of classes."""
+    threshold = forest.threshold
+    keyed = forest.signatures.select("class", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     shared = spill_table(shared, "shared-nodes")
     members = spill_table(keyed.join(broadcast_if_small(shared, KEYS_BROADCAST), "key").distinct(), "node-members")
+    sketches = forest.signatures.select("class", "members", "sketch").join(broadcast_if_small(members.select("class").distinct(), KEYS_BROADCAST), "class", "left_semi")
+    sketches = spill_table(sketches.groupBy("class").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch")), "sketches")
     later = F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     few = members.where(F.col("n") <= NODE).groupBy("key").agg(F.sort_array(F.collect_set("class")).alias("own"))
     pairs = few.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
     hot = members.where(F.col("n") > NODE)
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_hot_pairs(hot, signatures.select("class", "members", "sketch"), threshold))
-    pairs = spill_table(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    sets = signatures.select("class", "members", "shingles").join(broadcast_if_small(wanted, KEYS_BROADCAST), "class", "left_semi")
-    sets = spill_table(sets.groupBy("class").agg(F.first("members").alias("members"), F.first("shingles").alias("shingles")), "candidate-sets")
-    sizes = sets.select("class", "members")
-    sized = pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
+        pairs = pairs.unionByName(_hot_pairs(hot, sketches, threshold))
+    sizes = sketches.select("class", "members")
+    sized = pairs.distinct().join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
     sized = sized.where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9).select("a", "b")
-    both = sized.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("t")), "b")
+    drawn = sketches.select("class", "sketch")
+    likely = sized.join(drawn.toDF("a", "s"), "a").join(drawn.toDF("b", "t"), "b").mapInPandas(lambda it: _agree(it, threshold), "a bigint, b bigint")
+    pairs = spill_table(likely, "candidates")
+    sets = spill_table(_sets(forest, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()), "candidate-sets")
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,8 +240,8 @@ def similar_classes(signatures: DataFrame, threshold: float) -> DataFrame:
     return both.mapInPandas(verify, "a bigint, b bigint, similarity double")
 
 
-def near_duplicate_signatures(texts: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, members: int = MEMBERS) -> DataFrame:
-    """The table of signatures that the other functions take.
+def near_duplicate_forest(texts: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, members: int = MEMBERS) -> Forest:
+    """The signatures that the other functions take.
 
     ``texts``: id bigint, blob binary (UTF-8); other columns are ignored. Null ids, null blobs and texts with
     fewer than ``members`` distinct shingles take no part; repeated rows count once; an id with several
@@ -207,17 +249,18 @@ def near_duplicate_signatures(texts: DataFrame, shingle: int = SHINGLE, threshol
     """
     if not 0 < threshold <= 1 or shingle < 1:
         raise ValueError("threshold must be in (0, 1] and shingle positive")
-    return spill_table(signed(texts, shingle, threshold, members), "signatures")
+    texts = texts.select("id", "blob")
+    return Forest(spill_table(signed(texts, shingle, threshold, members), "signatures"), texts, shingle, threshold)
 
 
-def near_duplicate_groups(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicate_groups(forest: Forest) -> DataFrame:
     """(id, class_id, group_id, n_links): one row per document.
 
     class_id: smallest id with an equal set; group_id: smallest id of the classes joined by links; n_links:
     links of the document's class to other classes.
     """
-    links = spill_table(similar_classes(signatures, threshold), "links")
-    ids = signatures.select("class", "id").distinct()
+    links = spill_table(similar_classes(forest), "links")
+    ids = forest.signatures.select("class", "id").distinct()
     both = links.select("a", "b").union(links.select("b", "a"))
     count = both.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
     parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "class")
@@ -227,10 +270,10 @@ def near_duplicate_groups(signatures: DataFrame, threshold: float = THRESHOLD) -
     return ids.join(named.join(group, "component"), "class").select("id", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def near_duplicate_pairs(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicate_pairs(forest: Forest) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of documents, copies expanded."""
-    links = similar_classes(signatures, threshold).select("a", "b")
-    ids = spill_table(signatures.select("class", "id").distinct(), "class-members")
+    links = similar_classes(forest).select("a", "b")
+    ids = spill_table(forest.signatures.select("class", "id").distinct(), "class-members")
     many = ids.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
     left, right = ids.toDF("a", "i"), ids.toDF("b", "j")
     pairs = links.join(left, "a").join(right, "b").select("i", "j").union(many.join(left, "a").join(right, "b").where("i < j").select("i", "j"))
@@ -241,20 +284,20 @@ def near_duplicate_pairs(signatures: DataFrame, threshold: float = THRESHOLD) ->
 CHUNK_SHINGLE, CHUNK_THRESHOLD, CHUNK_MEMBERS = 3, 0.6, 20
 
 
-def chunk_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_forest(spark: SparkSession, sf_dir: str) -> Forest:
     texts = table(spark, sf_dir, "chunk_text").select(F.col("chunk_id").alias("id"), "blob")
-    return near_duplicate_signatures(texts, CHUNK_SHINGLE, CHUNK_THRESHOLD, CHUNK_MEMBERS)
+    return near_duplicate_forest(texts, CHUNK_SHINGLE, CHUNK_THRESHOLD, CHUNK_MEMBERS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose sets of three words agree to 60 % or more."""
-    pairs = near_duplicate_pairs(chunk_signatures(spark, sf_dir), CHUNK_THRESHOLD)
+    pairs = near_duplicate_pairs(chunk_forest(spark, sf_dir))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-equal chunks: one row per chunk."""
-    return near_duplicate_groups(chunk_signatures(spark, sf_dir), CHUNK_THRESHOLD).withColumnRenamed("id", "chunk_id")
+    return near_duplicate_groups(chunk_forest(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}

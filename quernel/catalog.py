@@ -12,6 +12,8 @@ MODULES = (
     "quernel.operators.clones",
     "quernel.operators.index",
     "quernel.operators.evidence",
+    "quernel.operators.notes",
+    "quernel.streaming.feeds",
 )
 
 

@@ -43,7 +43,9 @@ class Language:
                 return ops_[m.group()]
             if kind == "c":
                 return "\n" if newlines and "\n" in m.group() else ""
-            return {"n": NUMBER, "s": STRING, "x": "x"}[kind]
+            if kind == "x":
+                return "y" if m.group()[0] == "'" != m.group()[-1] else "x"
+            return NUMBER if kind == "n" else STRING
 
         self.token = token
 
@@ -120,11 +122,23 @@ class Language:
 _NEST = re.compile(r"[()\[\]{}]|\n+")
 _INDENT, _DEDENT, _BAD = "", "", ""
 
-#: The usual case of an expression, up to a token that can't continue one; it recurses nowhere, so it runs as one regular expression.
-_QUICK = """
-quick <- ATOM ('.' IDENT)* (PLAIN_OPERATOR ATOM ('.' IDENT)*)* &AFTER
-"""
-_QUICK_SETS = {"ATOM": f"{IDENT} {NUMBER} {STRING}", "PLAIN": f"{NUMBER} {STRING}", "PLAIN_OPERATOR": "+ - * / %", "AFTER": ", ; ) ]"}
+def _quick(name: str, depth: int = 3) -> str:
+    """The usual case of an expression: names, calls nested up to ``depth``, plain operators, up to a token that can't continue it.
+
+    It is a part of the language's own expressions and recurses nowhere, so it runs as one regular expression.
+    """
+    rules = f"""
+qop <- PLAIN_OPERATOR / '>' '='?
+qa0 <- ATOM ('.' {name})*
+qe0 <- qa0 (qop qa0)*"""
+    for k in range(1, depth + 1):
+        rules += f"""
+qa{k} <- ATOM ('.' {name} / '(' (qe{k - 1} (',' qe{k - 1})*)? ')')*
+qe{k} <- qa{k} (qop qa{k})*"""
+    return rules + f"\nquick <- qe{depth} &AFTER\n"
+
+
+_QUICK_SETS = {"ATOM": f"{IDENT} {NUMBER} {STRING}", "PLAIN": f"{NUMBER} {STRING}", "PLAIN_OPERATOR": "+ - * / % < == != <= && ||", "AFTER": ", ; ) ]"}
 
 #: Balanced tokens, for macros and attributes.
 _TREE = """
@@ -135,10 +149,10 @@ _CLOSE = {"CLOSE": ") ] }"}
 
 def rust() -> Language:
     expr = """
-expr{n} <- quick / operand{n} (binop operand{n} / 'as' type / range operand{n}?)*
+expr{n} <- {quick} / operand{n} (binop operand{n} / 'as' type / range operand{n}?)*
 operand{n} <- range operand{n}? / prefix* postfix{n}
 postfix{n} <- primary{n} suffix*
-primary{n} <- jump{n} / blocklike / closure{n} / NUMBER / STRING / CHAR / 'true' / 'false' / '(' (expr (',' expr)* ','?)? ')' / '[' (PLAIN ',')* (expr (';' expr / (',' expr)* ','?))? ']'
+primary{n} <- NUMBER / STRING / CHAR / &JUMPS jump{n} / blocklike / &CLOSURES closure{n} / 'true' / 'false' / '(' (expr (',' expr)* ','?)? ')' / '[' (PLAIN ',')* (expr (';' expr / (',' expr)* ','?))? ']'
    / path '!' tree / {struct}path
 jump{n} <- ('return' / 'break' LIFE?) expr{n}? / 'continue' LIFE?
 closure{n} <- 'async'? 'move'? ('||' / '|' (pattern_one (':' type)? (',' pattern_one (':' type)?)* ','?)? '|') ('->' type block / expr{n})
@@ -146,7 +160,7 @@ closure{n} <- 'async'? 'move'? ('||' / '|' (pattern_one (':' type)? (',' pattern
     grammar = (
         """
 file <- ('#' '!' tree)* item* !.
-item <- attr* visible? (use / module / func / struct / enum / trait / impl / constant / alias / extern / macro)
+item <- attr* visible? &ITEMS (use / module / func / struct / enum / trait / impl / constant / alias / extern / macro)
 attr <- '#' tree
 visible <- 'pub' ('(' ('crate' / 'self' / 'super' / 'in' path) ')')?
 use <- 'use' usetree ';' @ ';'
@@ -192,7 +206,7 @@ pfield <- attr* ('..' / (IDENT / NUMBER) ':' pattern / 'ref'? 'mut'? IDENT)
 block <- '{' ('#' '!' tree)* statement* (attr* expr)? '}'
 statement <- ';' / simple / attr* (blocklike !('.' / '?') ';'? / item)
 simple <- attr* ('let' pattern (':' type)? ('=' expr ('else' block)?)? ';' / !(BLOCKY / ITEM) expr ';') @ ';'
-blocklike <- (LIFE ':')? ('if' condition block ('else' (blocklike_if / block))? / 'match' exprns '{' ('#' '!' tree)* (arm)* '}' / 'while' condition block / 'loop' block / 'for' pattern 'in' exprns block / 'unsafe' block / 'async' 'move'? block / 'const' block / block)
+blocklike <- &BLOCKS (LIFE ':')? ('if' condition block ('else' (blocklike_if / block))? / 'match' exprns '{' ('#' '!' tree)* (arm)* '}' / 'while' condition block / 'loop' block / 'for' pattern 'in' exprns block / 'unsafe' block / 'async' 'move'? block / 'const' block / block)
 blocklike_if <- 'if' condition block ('else' (blocklike_if / block))?
 condition <- cond_one ('&&' cond_one)*
 cond_one <- 'let' pattern '=' exprns / exprns
@@ -204,9 +218,9 @@ binop <- '<<=' / '<<' / '>' '>' '=' / '>' '>' / '>' '=' / BINARY
 slit <- path '{' (sfield (',' sfield)* ','?)? '}'
 sfield <- attr* ('..' expr? / (IDENT / NUMBER) (':' expr)?)
 """
-        + _QUICK
-        + expr.format(n="", struct="slit / ")
-        + expr.format(n="ns", struct="")
+        + _quick("IDENT")
+        + expr.format(n="", struct="slit / ", quick="quick")
+        + expr.format(n="ns", struct="", quick="qe3 &'{'")
         + _TREE
     )
     return Language(
@@ -217,10 +231,10 @@ sfield <- attr* ('..' expr? / (IDENT / NUMBER) (':' expr)?)
         r'[bc]?r(?P<h>#*)"[\s\S]*?"(?P=h)|[bc]?"(?:[^"\\]|\\[\s\S])*+"',
         soft="union raw",
         number=r"0[xX][\da-fA-F_]+\w*+|0[bo][\d_]+\w*+|\d[\d_]*+(?:\.\d[\d_]*+)?+(?:[eE][+-]?+\d+)?+\w*+|\d+\.(?![.\w])",
-        extra=r"b?'(?:[^'\\\n]|\\[^\n][^'\n]*+)'|'(?=[^\W\d])",
+        extra=r"b?'(?:[^'\\\n]|\\[^\n][^'\n]*+)'|'[^\W\d]\w*+",
         classes=_CLOSE
         | _QUICK_SETS
-        | {"SEG": "i union raw self Self super crate", "UNION": "union", "CHAR": "x", "LIFE": "y", "BINARY": "+ - * / % ^ & | < > == != <= && || = += -= *= /= %= ^= &= |= <<", "BLOCKY": "if match while loop for unsafe { y", "ITEM": "fn struct enum trait impl use mod static type pub extern"},
+        | {"SEG": "i union raw self Self super crate", "UNION": "union", "CHAR": "x", "LIFE": "y", "BINARY": "+ - * / % ^ & | < > == != <= && || = += -= *= /= %= ^= &= |= <<", "JUMPS": "return break continue", "CLOSURES": "async move || |", "ITEMS": "use mod unsafe const async extern fn struct union enum trait impl static type i :: self super crate raw < Self", "BLOCKS": "y if match while loop for unsafe async const {", "BLOCKY": "if match while loop for unsafe { y", "ITEM": "fn struct enum trait impl use mod static type pub extern"},
     )
 
 
@@ -232,7 +246,6 @@ def _c_like(cpp: bool) -> Language:
 file <- declaration* !.
 block <- '{' statement* '}'
 args <- (arg (',' arg)*)?
-quick <- ATOM ('.' IDENT)* (PLAIN_OPERATOR ATOM ('.' IDENT)*)* &AFTER
 arg <- init / assign
 init <- '{' (PLAIN ',')* (ielem (',' ielem)* ','?)? '}'
 ielem <- (('.' IDENT / '[' assign ']')+ '=')? (init / assign) '...'?
@@ -245,11 +258,12 @@ attributes <- ('__attribute__' tree / '[' '[' tree* ']' ']')*
     if not cpp:
         grammar = (
             base
+            + _quick("IDENT")
             + """
 declaration <- ';' / prototype / static_assert / function / typed_ending
 static_assert <- '_Static_assert' tree ';'
 prototype <- attributes specifiers pointer* IDENT '(' params? ')' attributes ';' @ ';'
-function <- attributes specifiers declarator attributes block @ '}'
+function <- attributes specifiers pointer* ('(' declarator ')' / IDENT) '(' params? ')' (('[' assign? ']') / '(' params? ')')* attributes block @ '}'
 typed_ending <- attributes ('typedef' / STORAGE)* specifiers (declarator (':' assign)? attributes ('=' (init / assign))? (',' declarator (':' assign)? ('=' (init / assign))?)*)? ';'
 specifiers <- STORAGE* (record STORAGE* / (BASIC STORAGE*)+ / IDENT STORAGE*)
 record <- ('struct' / 'union') attributes (IDENT? '{' member* '}' / IDENT) / 'enum' (IDENT? '{' (enumerator (',' enumerator)* ','?)? '}' / IDENT)
@@ -274,6 +288,7 @@ suffix <- '(' args ')' / '[' expr ']' / ('.' / '->') IDENT / '++' / '--'
     else:
         grammar = (
             base
+            + _quick("IDENT")
             + """
 declaration <- ';' / simple_decl / 'namespace' name? '{' declaration* '}' / 'namespace' IDENT '=' name ';' / 'inline' 'namespace' IDENT '{' declaration* '}' / 'extern' STRING ('{' declaration* '}' / declaration) / using / 'static_assert' tree ';'
    / 'template' '<' (tparam (',' tparam)*)? '>' ('requires' assign)? declaration / 'concept' IDENT '=' assign ';' / record_decl / function / variables
@@ -336,7 +351,7 @@ suffix <- '(' args ')' / '[' (init / expr)? ']' / ('.' / '->') 'template'? '~'?
 
 def go() -> Language:
     expr = """
-expr{n} <- quick / unary{n} (BINARY unary{n})*
+expr{n} <- {quick} / unary{n} (BINARY unary{n})*
 unary{n} <- PREFIX* primary{n} suffix{n}*
 primary{n} <- NUMBER / STRING / CHAR / 'func' signature block / '(' expr ')' / '(' type ')' / {lit}conversion / IDENT
 suffix{n} <- '.' (IDENT / '(' ('type' / type) ')') / '[' type_list ']' / '[' (expr? ':' expr? (':' expr)? / expr ','?) ']' / '(' (argument (',' argument)* '...'? ','?)? ')'{brace}
@@ -380,9 +395,9 @@ composite <- &('[' / 'map' / 'struct' / 'chan' / 'interface') type (literal / '(
 literal <- '{' (PLAIN ',')* (element (',' element)* ','?)? '}'
 element <- (literal / expr) (':' (literal / expr))?
 """
-        + expr.format(n="", lit="IDENT ('.' IDENT)? ('[' type_list ']')? literal / ", brace=" / literal")
-        + expr.format(n="ns", lit="", brace="")
-        + _QUICK
+        + expr.format(n="", lit="IDENT ('.' IDENT)? ('[' type_list ']')? literal / ", brace=" / literal", quick="quick")
+        + expr.format(n="ns", lit="", brace="", quick="qe3 &'{'")
+        + _quick("IDENT")
     )
     return Language(
         grammar,
@@ -457,7 +472,7 @@ cond <- ('in' / '!in') expr / ('is' / '!is') type / expr
 try <- 'try' block (';'? CATCH '(' annotation* NAME ':' type ','? ')' block)* (';'? FINALLY block)?
 jump <- 'throw' expr / 'return' ('@' IDENT)? expr? / 'break' ('@' IDENT)? / 'continue' ('@' IDENT)?
 """
-        + _QUICK
+        + _quick("IDENT")
     )
     return Language(
         grammar,
@@ -476,7 +491,7 @@ jump <- 'throw' expr / 'return' ('@' IDENT)? expr? / 'break' ('@' IDENT)? / 'con
 
 def swift() -> Language:
     expr = """
-expr{n} <- quick / 'try' TRY_MARK? expr{n} / AWAIT expr{n} / unary{n} (infix{n})*
+expr{n} <- {quick} / 'try' TRY_MARK? expr{n} / AWAIT expr{n} / unary{n} (infix{n})*
 infix{n} <- BINARY unary{n} / '?' expr{n} ':' expr{n} / ('is' / 'as' ('?' / '!')?) type / ASSIGN ('try' TRY_MARK?)? AWAIT? unary{n}
 unary{n} <- PREFIX* '&'? postfix{n}
 postfix{n} <- primary suffix{n}*
@@ -484,8 +499,8 @@ suffix{n} <- '(' args? ')' / '[' args? ']' / '?'? '.' (NAME / NUMBER / INIT / 's
 """
     grammar = (
         """
-file <- ';'* (statement (';'+ / &. ))* !.
-attrs <- ('@' IDENT ('(' tree* ')')? ';'? / MODIFIER ('(' (IDENT / SET) ')')? !('(' / '.' / '=' / ')' / ',' / ';' / ':'))*
+file <- ';'* (statement (';'+ / !.))* !.
+attrs <- ('@' IDENT ('(' tree* ')')? ';'? / 'class' &('func' / 'var' / 'let' / 'subscript') / MODIFIER ('(' (IDENT / SET) ')')? !('(' / '.' / '=' / ')' / ',' / ';' / ':'))*
 tree <- '(' tree* ')' / '[' tree* ']' / '{' tree* '}' / !CLOSE .
 decl <- attrs (import / func / variable / typed / enum / protocol / extension / alias / init / deinit / subscript / operator)
 import <- 'import' IDENT ('.' NAME)* / 'import' ('struct' / 'class' / 'func' / 'enum' / 'protocol') IDENT ('.' NAME)*
@@ -510,7 +525,7 @@ alias <- 'typealias' IDENT generics? '=' type
 init <- INIT ('?' / '!')? generics? params effects where? block?
 deinit <- 'deinit' block
 subscript <- 'subscript' generics? params '->' type where? accessors?
-operator <- ('prefix' / 'postfix' / 'infix') 'operator' OPERATOR+ (':' IDENT)?
+operator <- 'operator' OPERATOR+ (':' IDENT)?
 generics <- '<' generic (',' generic)* '>'
 generic <- IDENT (':' type)?
 where <- 'where' requirement (',' requirement)*
@@ -529,19 +544,20 @@ if <- 'if' conditions block (';'? 'else' (if / block))?
 guard <- 'guard' conditions ';'? 'else' block
 conditions <- condition (',' condition)*
 condition <- ('let' / 'var') pattern (':' type)? ('=' exprns)? / 'case' pattern_match '=' exprns / exprns
-pattern_match <- ('let' / 'var') pattern_match / 'is' type / '(' pattern_match (',' pattern_match)* ')' / '_' / exprns
+enum_pattern <- IDENT? '.' NAME ('(' ((NAME ':')? pattern_match (',' (NAME ':')? pattern_match)*)? ')')? '?'? &(',' / ':' / '=' / 'in' / 'where' / '{' / ')')
+pattern_match <- ('let' / 'var') pattern_match / 'is' type / enum_pattern / '(' pattern_match (',' pattern_match)* ')' / '_' / exprns
 switch <- 'switch' exprns '{' ';'* (('case' pattern_match ('where' exprns)? (',' pattern_match ('where' exprns)?)* / attrs 'default') ':' ';'* lines)* '}'
 args <- arg (',' arg)* ','?
 arg <- (NAME ':')? (expr / OPERATOR) (':' expr)?
 closure <- '{' ';'* (cparams 'in' ';'*)? lines '}'
 cparams <- attrs ('[' tree* ']')? ('(' (cparam (',' cparam)*)? ')' / NAME (',' NAME)*)? effects ('->' type)?
 cparam <- NAME NAME? (':' type)?
-primary <- NUMBER / STRING / 'true' / 'false' / 'nil' / 'self' / 'super' / 'Self' / '(' (arg (',' arg)* ','?)? ')' / '[' (PLAIN ',')* (':' / arg (',' arg)* ','?)? ']' / closure / '.' (NAME / INIT) / '#' IDENT ('(' args? ')')? / '_' / BACKSLASH '.' NAME? / if_expr / IDENT targs_call?
+primary <- NUMBER / STRING / 'x' / 'true' / 'false' / 'nil' / 'self' / 'super' / 'Self' / '(' (arg (',' arg)* ','?)? ')' / '[' (PLAIN ',')* (':' / arg (',' arg)* ','?)? ']' / closure / '.' (NAME / INIT) / '#' IDENT ('(' args? ')')? / '_' / BACKSLASH '.' NAME? / if_expr / IDENT targs_call?
 if_expr <- if / switch
 """
-        + _QUICK
-        + expr.format(n="", trailing=" / closure (NAME ':' closure)*")
-        + expr.format(n="ns", trailing="")
+        + _quick("IDENT")
+        + expr.format(n="", trailing=" / closure (NAME ':' closure)*", quick="quick")
+        + expr.format(n="ns", trailing="", quick="qe3 &'{'")
     )
     return Language(
         grammar,
@@ -553,7 +569,7 @@ if_expr <- if / switch
         classes=_CLOSE
         | _QUICK_SETS
         | {"NAME": "i x init get set willSet didSet async await some any actor public private fileprivate internal open static final lazy weak unowned override mutating nonmutating required convenience dynamic optional nonisolated in default case for is self class func import where if while repeat return switch as do else struct enum protocol operator extension _ prefix true false nil var let inout",
-           "MODIFIER": "public private fileprivate internal open static final lazy weak unowned override mutating nonmutating required convenience dynamic optional nonisolated class prefix postfix infix indirect", "INIT": "init", "GET": "get", "SET": "set", "WILLSET": "willSet", "DIDSET": "didSet", "ASYNC": "async", "AWAIT": "await", "SOME": "some", "ANY": "any", "ACTOR": "actor",
+           "MODIFIER": "public private fileprivate internal open static final lazy weak unowned override mutating nonmutating required convenience dynamic optional nonisolated prefix postfix infix indirect", "INIT": "init", "GET": "get", "SET": "set", "WILLSET": "willSet", "DIDSET": "didSet", "ASYNC": "async", "AWAIT": "await", "SOME": "some", "ANY": "any", "ACTOR": "actor",
            "OPERATOR": "+ - * / % < > = ! & | ^ ~ ? == != <= >= && || ?? += -= *= /= ... ..< << >>", "TRY_MARK": "? !", "PREFIX": "- + ! ~ ... ..<", "BINARY": "+ - * / % < > == != === !== <= >= && || ?? ... ..< & | ^ &+ &- &* << >>", "ASSIGN": "= += -= *= /= %=", "BACKSLASH": "\\",
            "CONTROL": "if guard while repeat for switch do defer let var func struct class enum protocol extension import return break continue fallthrough throw typealias"},
         newlines="soft", enders="x break continue fallthrough return self Self super nil true false ++ -- > ! ? _", joiners=". ) ] && || ?? == != <= >= + * / % -> : = ? else where",
@@ -565,13 +581,13 @@ def typescript() -> Language:
 file <- ';'* (statement ';'*)* !.
 block <- '{' ';'* (statement ';'*)* '}'
 end <- ';' / &'}' / !. / &STATEMENT
-statement <- simple / block / decorated / import / export / declaration / control / IDENT ':' ';'* statement / expr end
+statement <- simple / &FLOW control / block / decorated / import / export / declaration / control / IDENT ':' ';'* statement / expr end
 simple <- (('const' / 'let' / 'var') IDENT (':' type)? ('=' assign)? / 'return' expr / !(CONTROL) !(IDENT ':') expr) ';' @ ';'
 decorated <- ('@' IDENT ('.' NAME)* ('(' args ')')? ';'?)+ (export / declaration)
 import <- 'import' (STRING / TYPE? (IDENT !FROM (',' )? / IDENT &FROM)? ('*' AS IDENT / '{' (specifier (',' specifier)* ','?)? '}')? FROM STRING / IDENT '=' expr) end
 specifier <- TYPE? (NAME / STRING) (AS (NAME / STRING))?
 export <- 'export' ('default' (declaration / expr end) / TYPE? '*' (AS NAME)? FROM STRING end / TYPE? '{' (specifier (',' specifier)* ','?)? '}' (FROM STRING)? end / '=' expr end / AS NAMESPACE IDENT end / decorated / declaration)
-declaration <- DECLARE? (variable end / function / class / interface / alias / enum / module)
+declaration <- &DECLARES DECLARE? (variable end / function / class / interface / alias / enum / module)
 variable <- ('const' / 'let' / 'var') vbind (',' vbind)*
 vbind <- binding '!'? (':' type)? ('=' ';'? assign)?
 binding <- IDENT / '{' (bprop (',' bprop)* ','?)? '}' / '[' (','* belem (','+ belem)* ','?)? ']'
@@ -588,24 +604,24 @@ member <- ('@' IDENT ('.' NAME)* ('(' args ')')? ';'?)* ('static' block / (MODIF
 pname <- '#'? NAME / STRING / NUMBER / '[' expr ']'
 index <- '[' IDENT ':' type ']' ':' type end
 interface <- INTERFACE IDENT tparams? ('extends' type (',' type)*)? object_type
-quick <- ATOM ('.' IDENT)* (PLAIN_OPERATOR ATOM ('.' IDENT)*)* &AFTER
 alias <- TYPE IDENT tparams? '=' ';'? type end
 enum <- 'const'? 'enum' IDENT '{' ((NAME / STRING) ('=' assign)? (',' (NAME / STRING) ('=' assign)?)* ','?)? ';'* '}'
 module <- (NAMESPACE / MODULE) (IDENT ('.' IDENT)* / STRING) block / GLOBAL block
 control <- 'if' '(' expr ')' sub (';'? 'else' sub)? / 'while' '(' expr ')' sub / 'do' sub ';'* 'while' '(' expr ')' end / 'for' AWAIT? '(' forhead ')' sub / 'switch' '(' expr ')' '{' ';'* (('case' expr / 'default') ':' ';'* (!('case' / 'default') statement ';'*)*)* '}'
    / 'try' block (';'? 'catch' ('(' binding (':' type)? ')')? block)? (';'? 'finally' block)? / 'throw' expr end / 'return' expr? end / ('break' / 'continue') IDENT? end / 'debugger' end
-sub <- ';'* statement / ';'
+sub <- ';'* (block / statement) / ';'
 forhead <- ('const' / 'let' / 'var') binding (OF / 'in') expr / (variable / expr)? ';' expr? ';' expr? / postfix (OF / 'in') expr
 expr <- assign (',' assign)*
-assign <- quick / arrow / 'yield' '*'? assign? / conditional (ASSIGN ';'? assign / '>' '>' '=' assign)?
-arrow <- ASYNC? (IDENT / tparams? '(' params? ')' (':' rtype)?) '=>' (block / assign)
+assign <- quick / &ARROW arrow / 'yield' '*'? assign? / conditional (ASSIGN ';'? assign / '>' '>' '=' assign)?
+arrow <- !('i' !'=>') ASYNC? (IDENT / tparams? '(' params? ')' (':' rtype)?) '=>' (block / assign)
 conditional <- binary ('?' ';'? assign ';'? ':' ';'? assign)?
 binary <- unary (BINARY ';'? unary / '>' '>' '>' unary / '>' '>' unary / '>' '=' unary / '>' unary / (AS / SATISFIES) ('const' / type))*
 unary <- (PREFIX / AWAIT &(IDENT / '(' / 'this' / 'import' / 'new'))* (targs unary / postfix)
 postfix <- primary (suffix)*
-suffix <- ('.' / '?.') '#'? NAME / '?.'? targs? '(' args ')' / '?.'? '[' expr ']' / STRING / '!' !'=' / '++' / '--' / targs &(')' / ';' / ',' / '.')
+suffix <- ('.' / '?.') '#'? NAME / '(' args ')' / &MORE suffix_rare
+suffix_rare <- '?.'? targs? '(' args ')' / '?.'? '[' expr ']' / STRING / '!' !'=' / '++' / '--' / targs &(')' / ';' / ',' / '.')
 args <- ('...'? assign (',' '...'? assign)* ','?)?
-primary <- ASYNC? 'function' '*'? IDENT? signature block / class / 'new' ('.' IDENT / newtarget targs? ('(' args ')')?) / 'this' / 'super' / 'null' / 'true' / 'false' / 'import' ('.' IDENT / '(' args ')') / NUMBER / STRING / REGEX / '(' expr ')' / '[' (PLAIN ',')* (','* '...'? assign (','+ '...'? assign)*)? ','* ']' / object / jsx / IDENT
+primary <- 'i' / NUMBER / STRING / ASYNC? 'function' '*'? IDENT? signature block / class / 'new' ('.' IDENT / newtarget targs? ('(' args ')')?) / 'this' / 'super' / 'null' / 'true' / 'false' / 'import' ('.' IDENT / '(' args ')') / NUMBER / STRING / REGEX / '(' expr ')' / '[' (PLAIN ',')* (','* '...'? assign (','+ '...'? assign)*)? ','* ']' / object / jsx / IDENT
 newtarget <- ('new' newtarget targs? ('(' args ')')? / IDENT / 'this' / '(' expr ')' / class / 'function' signature block) (('.' NAME) / '[' expr ']')*
 object <- '{' ';'* (prop (',' ';'* prop)* ','? ';'*)? '}'
 prop <- '...' assign / ((GET / SET / ASYNC) &pname)? '*'? pname signature block / pname ':' ';'? assign / IDENT ('=' assign)?
@@ -624,6 +640,7 @@ object_type <- '{' ';'* (tmember (',' / ';')* )* '}'
 tmember <- MODIFIER_TYPE? (mapped / '[' IDENT ':' type ']' ':' type / ((GET / SET) &pname)? (pname ('?')?)? (signature / ':' type)? / 'new' signature) &(',' / ';' / '}')
 mapped <- ('+' / '-')? READONLY? '[' IDENT 'in' type (AS type)? ']' ('+' / '-')? '?'? (':' type)?
 """
+    grammar += _quick("IDENT")
     words = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while let yield static"
     soft = "as from of type interface namespace module declare abstract async await get set readonly public private protected override implements is asserts keyof unique infer global satisfies out"
     keywords = words + " " + soft
@@ -635,10 +652,10 @@ mapped <- ('+' / '-')? READONLY? '[' IDENT 'in' type (AS type)? ']' ('+' / '-')?
         soft=soft, number=r"0[xXbBoO][\da-fA-F_]+n?+|\.?\d[\d_]*+(?:\.[\d_]*+)?+(?:[eE][+-]?+\d+)?+n?+",
         extra=r"(?<=[(,=:\[!&|?{};])[ \t]*/(?![*/ =])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+",
         classes=_QUICK_SETS
-        | {"REGEX": "x", "NAME": "i " + keywords, "AS": "as", "FROM": "from", "OF": "of", "TYPE": "type", "INTERFACE": "interface", "NAMESPACE": "namespace", "MODULE": "module", "GLOBAL": "global", "DECLARE": "declare", "ABSTRACT": "abstract", "ASYNC": "async", "AWAIT": "await", "GET": "get", "SET": "set",
+        | {"REGEX": "x", "MORE": "?. < ( [ s ! ++ --", "NAME": "i " + keywords, "AS": "as", "FROM": "from", "OF": "of", "TYPE": "type", "INTERFACE": "interface", "NAMESPACE": "namespace", "MODULE": "module", "GLOBAL": "global", "DECLARE": "declare", "ABSTRACT": "abstract", "ASYNC": "async", "AWAIT": "await", "GET": "get", "SET": "set",
                  "READONLY": "readonly", "IMPLEMENTS": "implements", "IS": "is", "ASSERTS": "asserts", "KEYOF": "keyof", "UNIQUE": "unique", "INFER": "infer", "SATISFIES": "satisfies", "OUT": "out", "ACCESS": "public private protected readonly override", "MODIFIER": "public private protected readonly override static abstract async declare",
                  "MODIFIER_TYPE": "readonly", "ASSIGN": "= += -= *= /= %= **= <<= &= |= ^= &&= ||= ??=", "BINARY": "+ - * / % ** < << <= == != === !== & | ^ && || ?? instanceof in", "PREFIX": "+ - ! ~ ++ -- typeof void delete",
-                 "CONTROL": "if while do for switch try throw return break continue debugger { function class const let var import export enum @ ;", "STATEMENT": "if while do for switch try throw return break continue function class const let var import export enum interface type declare namespace abstract async"},
+                 "ARROW": "( < i as from of type interface namespace module declare abstract async await get set readonly public private protected override implements is asserts keyof unique infer global satisfies out", "FLOW": "if while do for switch try throw return break continue debugger", "DECLARES": "declare const let var function class interface type enum namespace module global abstract async", "CONTROL": "if while do for switch try throw return break continue debugger { function class const let var import export enum @ ;", "STATEMENT": "if while do for switch try throw return break continue function class const let var import export enum interface type declare namespace abstract async"},
         newlines="soft", enders="x this super null true false break continue return ++ -- > ! void static", joiners=". ?. ) ] && || ?? + - * / % = == === != !== <= < > ? : => , & | in instanceof as",
     )
 
@@ -648,14 +665,15 @@ def python() -> Language:
 file <- '\\n'* statement* !.
 statement <- line / compound
 line <- small (';' small)* ';'? '\\n' @ '\\n'
-small <- 'pass' / 'break' / 'continue' / 'return' (stars)? / 'raise' (expr ('from' expr)?)? / ('global' / 'nonlocal') NAME (',' NAME)* / 'del' stars / 'assert' expr (',' expr)? / import / type_alias / assignment
+small <- &KEYWORD small_keyword / type_alias / assignment
+small_keyword <- 'pass' / 'break' / 'continue' / 'return' (stars)? / 'raise' (expr ('from' expr)?)? / ('global' / 'nonlocal') NAME (',' NAME)* / 'del' stars / 'assert' expr (',' expr)? / import
 import <- 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)* / 'from' ('.' / '...')* dotted? 'import' ('*' / '(' inames ','? ')' / inames)
 inames <- NAME ('as' NAME)? (',' NAME ('as' NAME)?)*
 dotted <- NAME ('.' NAME)*
 type_alias <- TYPE NAME tparams? '=' expr
 assignment <- target ':' expr ('=' (yield / stars))? / (stars '=')+ (yield / stars) / stars AUGMENT (yield / stars) / yield / stars
 target <- primary / '(' primary ')'
-compound <- decorator* ('async'? def / class) / 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)? / 'while' named ':' suite ('else' ':' suite)? / 'async'? 'for' targets 'in' stars ':' suite ('else' ':' suite)?
+compound <- &COMPOUND decorator* ('async'? def / class) / 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)? / 'while' named ':' suite ('else' ':' suite)? / 'async'? 'for' targets 'in' stars ':' suite ('else' ':' suite)?
    / 'try' ':' suite (('except' '*'? (expr (',' expr)* ('as' NAME)?)? ':' suite)+ ('else' ':' suite)? ('finally' ':' suite)? / 'finally' ':' suite) / 'async'? 'with' ('(' withitem (',' withitem)* ','? ')' &':' / withitem (',' withitem)*) ':' suite / match
 decorator <- '@' named '\\n'
 def <- 'def' NAME tparams? '(' params? ')' ('->' expr)? ':' suite
@@ -691,10 +709,10 @@ tstar <- '*'? tatom
 tatom <- primary / '(' targets ')' / '[' targets ']'
 operation_if <- operation
 atom <- NAME / NUMBER / STRING+ / 'None' / 'True' / 'False' / '...' / '(' (yield / star compfor / stars)? ')' / '[' (PLAIN ',')* (star compfor / stars)? ']' / '{' (dict / star compfor / stars)? '}'
-quick <- ATOM ('.' NAME)* (PLAIN_OPERATOR ATOM ('.' NAME)*)* &AFTER
 dict <- item compfor / item (',' item)* ','?
 item <- '**' operation / expr ':' expr
 """
+    grammar += _quick("NAME")
     return Language(
         grammar,
         "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
@@ -702,7 +720,7 @@ item <- '**' operation / expr ':' expr
         r"#[^\n]*+", r"(?i:rb|br|[rbuf]|fr|rf|t)?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+')",
         soft="type match case", number=r"0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:0[0_]*+(?![\d_])|[1-9][\d_]*+|(?=0\d+[.eEjJ])[\d_]+|(?=\.\d))(?:\.[\d_]*+)?+(?:[eE][+-]?+\d+)?+[jJ]?+(?!\w)",
         classes=_QUICK_SETS
-        | {"NAME": "i type match case", "TYPE": "type", "MATCH": "match", "CASE": "case", "INDENT": _INDENT, "DEDENT": _DEDENT, "AUGMENT": "+= -= *= /= //= %= **= @= &= |= ^= <<= >>=", "BINARY": "+ - * / // % @ << >> & | ^ < > <= >= == != and or in", "PREFIX": "- + ~ not await"},
+        | {"AFTER": ", ; ) ] : } \n", "PLAIN_OPERATOR": "+ - * / % < == != <= >= and or", "NAME": "i type match case", "TYPE": "type", "MATCH": "match", "CASE": "case", "KEYWORD": "pass break continue return raise global nonlocal del assert import from", "COMPOUND": "@ async def class if while for try with match", "INDENT": _INDENT, "DEDENT": _DEDENT, "AUGMENT": "+= -= *= /= //= %= **= @= &= |= ^= <<= >>=", "BINARY": "+ - * / // % @ << >> & | ^ < > <= >= == != and or in", "PREFIX": "- + ~ not await"},
         newlines="layout",
     )
 

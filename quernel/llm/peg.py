@@ -136,7 +136,7 @@ class Grammar:
         if kind == "set":
             return "[" + re.escape(node[1]) + "]"
         if kind == "any":
-            return r"[\s\S]"
+            return r"[^\x00]"
         if kind == "rule":
             if node[1] not in self._regex:
                 self._regex[node[1]] = f"(?>{self._pattern(self.rules[node[1]])})"

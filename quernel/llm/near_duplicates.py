@@ -165,6 +165,8 @@ def _hot_pairs(members: DataFrame, sketches: DataFrame, threshold: float) -> Dat
     def run(own: pd.DataFrame) -> pd.DataFrame:
         i, j = int(own.i.iloc[0]), int(own.j.iloc[0])
         left, right = own[own.block == i], own[own.block == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         s, t = (np.frombuffer(b"".join(map(bytes, x.sketch)), np.uint16).reshape(len(x), -1) for x in (left, right))
         n, m = left.members.to_numpy(), right.members.to_numpy()
         like = np.zeros((len(s), len(t)), np.uint16)

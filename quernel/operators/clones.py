@@ -52,15 +52,20 @@ def clone_pairs(bagged: DataFrame, theta: float = THETA) -> DataFrame:
     ranked = bagged.join(df, ["language", "token"])
     before = F.coalesce(F.sum("freq").over(Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     need = F.ceil(F.lit(theta) * F.col("n_tokens"))
-    prefix = ranked.withColumn("before", before).where(F.col("before") < F.col("n_tokens") - need + 1).select("id", "language", "n_tokens", "token")
+    prefix = ranked.withColumn("before", before).where(F.col("before") < F.col("n_tokens") - need + 1).select("id", "language", "n_tokens", "token", "freq", (F.col("before") + F.col("freq")).alias("upto"))
     prefix = spill_table(prefix, "clone-prefixes")
-    a = prefix.select("language", "token", F.col("id").alias("id_a"), F.col("n_tokens").alias("n_a"))
-    b = prefix.select("language", "token", F.col("id").alias("id_b"), F.col("n_tokens").alias("n_b"))
-    likely = F.least("n_a", "n_b") >= F.ceil(F.lit(theta) * F.greatest("n_a", "n_b"))
-    candidates = a.join(b, ["language", "token"]).where((F.col("id_a") < F.col("id_b")) & likely).select("id_a", "id_b", "n_a", "n_b").distinct()
-    left, right = bagged.select(F.col("id").alias("id_a"), "token", F.col("freq").alias("f")), bagged.select(F.col("id").alias("id_b"), "token", F.col("freq").alias("g"))
-    met = candidates.join(left, "id_a").join(right, ["id_b", "token"]).groupBy("id_a", "id_b", "n_a", "n_b").agg(F.sum(F.least("f", "g")).alias("overlap"))
-    return met.where(F.col("overlap") >= F.ceil(F.lit(theta) * F.greatest("n_a", "n_b")))
+    side = lambda x: prefix.select("language", "token", F.col("id").alias(f"id_{x}"), F.col("n_tokens").alias(f"n_{x}"), F.col("freq").alias(f"f_{x}"), F.col("upto").alias(f"u_{x}"))
+    most = F.greatest("n_a", "n_b")
+    likely = F.least("n_a", "n_b") >= F.ceil(F.lit(theta) * most)
+    met = side("a").join(side("b"), ["language", "token"]).where((F.col("id_a") < F.col("id_b")) & likely)
+    # what is shared in the prefixes and all that can follow the last shared token
+    met = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.sum(F.least("f_a", "f_b")).alias("shared"), F.max("u_a").alias("u_a"), F.max("u_b").alias("u_b"))
+    bound = F.col("shared") + F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
+    pairs = spill_table(met.where(bound >= F.ceil(F.lit(theta) * most)).select("id_a", "id_b", "n_a", "n_b"), "clone-candidates")
+    each = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("freq")), lambda k: F.xxhash64("token", k))
+    whole = spill_table(bagged.groupBy("id").agg(F.flatten(F.collect_list(each)).alias("bag")), "clone-bags-whole")
+    both = pairs.join(whole.toDF("id_a", "s"), "id_a").join(whole.toDF("id_b", "t"), "id_b")
+    return both.select("id_a", "id_b", "n_a", "n_b", F.size(F.array_intersect("s", "t")).cast("bigint").alias("overlap")).where(F.col("overlap") >= F.ceil(F.lit(theta) * most))
 
 
 def clone_classes(pairs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ MODULES = (
     "quernel.operators.index",
     "quernel.operators.evidence",
     "quernel.operators.notes",
+    "quernel.operators.derived",
     "quernel.streaming.feeds",
 )
 

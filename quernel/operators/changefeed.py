@@ -47,7 +47,7 @@ def _winner(new: str, old: str) -> str:
 def _upsert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
-    db = duckdb.connect(":memory:", config={"threads": 1})
+    db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
     db.execute(
         "CREATE TABLE state(repo_id VARCHAR, table_name VARCHAR, row_pk VARCHAR, lamport BIGINT,"
         " device_fingerprint VARCHAR, removed BOOLEAN, synced_hash VARCHAR, PRIMARY KEY (repo_id, table_name, row_pk))"

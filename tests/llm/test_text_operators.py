@@ -141,6 +141,24 @@ def test_nearest_and_graph_recall(spark):
     assert similar.nearest(units.limit(0), units.select("id")).count() == 0
 
 
+def test_graph_recall_holds_with_many_more_lists_than_probes(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LIST_ROWS", 25)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((4_000, 24))
+    units = similar.unit_vectors(spark.createDataFrame([(k, "m", 24, blob32(x), "Current", 0, "c") for k, x in enumerate(v)], EMB).repartition(4)).cache()
+    u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    asked = list(range(0, 4_000, 20))
+    graph = {}
+    for r in similar.neighbour_graph(units, queries=spark.createDataFrame([(k,) for k in asked], "id bigint")).collect():
+        graph.setdefault(r.id, set()).add(r.neighbor_id)
+    hits = 0
+    for k in asked:
+        s = u @ u[k]
+        s[k] = -2
+        hits += len(set(np.argsort(-s)[:10].tolist()) & graph[k])
+    assert hits / (10 * len(asked)) >= 0.9
+
+
 # -- near duplicates
 def jaccard_pairs(texts, n, threshold, members):
     sets = {}

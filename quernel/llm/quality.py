@@ -6,7 +6,8 @@ inside a line or a word: the state keeps the counts of its unfinished and line a
 the unfinished words at both ends, and a merge finishes the line in the middle. A short line takes the
 kind of the line before it, so the finished lines are kept once for each kind the line before the chunk
 may have had. Texts over ``CHUNK`` characters are cut in the JVM and their states merged in a tree of
-``FAN_IN``; shorter ones need no shuffle.
+``FAN_IN``, while the repeats of their lines are counted by a shuffle on (text, line), so that no state grows
+with its text; shorter texts need no shuffle.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.plans.cluster import spill_table
 from quernel.sources.tables import table
 
 CHUNK, FAN_IN = 32_768, 16
-#: Lines remembered as candidates for the line that is repeated over and over.
-REPEATED = 8
+#: A line is repeated from so many occurrences on.
+REPEATS = 4
+#: The characters that Python's ``str.strip`` and ``str.split`` take as blank, as a class of Java's regular expressions.
+BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 #: Common words of the four languages (fixed values).
 COMMON = {
@@ -114,13 +118,14 @@ class State:
     head, tail: the unfinished first and last line; where the run has no line break, all is head and
     ``tail`` is None. Only unfinished lines are kept as text.
     sums: over all that isn't in head or tail. by: for each kind of line before, the non-blank characters
-    per kind and the kind the next line sees. lines: repeated lines, as hash -> (times, characters).
+    per kind and the kind the next line sees. lines: every finished line, as hash -> (times, characters),
+    or None where lines are counted elsewhere.
     """
 
     __slots__ = ("by", "head", "lines", "sums", "tail")
 
-    def __init__(self, text: str):
-        self.sums, self.by, self.lines = [0] * len(SUMS), [[[0] * 4, k] for k in range(3)], {}
+    def __init__(self, text: str, counted: bool = True):
+        self.sums, self.by, self.lines = [0] * len(SUMS), [[[0] * 4, k] for k in range(3)], {} if counted else None
         parts = text.split("\n")
         self.head, self.tail = parts[0], parts[-1] if len(parts) > 1 else None
         for line in parts[1:-1]:
@@ -133,7 +138,8 @@ class State:
         bare = line.strip()
         if bare:
             sums[6], sums[7] = 1, bool(_SENTENCE_END.search(bare))
-            self._repeat(hash_line(bare), 1, sums[4])
+            if self.lines is not None:
+                self._repeat(hash_line(bare), 1, sums[4])
         self.sums = [a + b for a, b in zip(self.sums, sums, strict=True)]
         cache: dict[int, tuple[int, int]] = {}
         for own in self.by:
@@ -146,14 +152,10 @@ class State:
                 own[1] = after
 
     def _repeat(self, key: int, times: int, size: int) -> None:
-        """Misra-Gries: of the lines that aren't kept, each lost at most a ``REPEATED``-th of all occurrences."""
-        if key in self.lines:
-            self.lines[key] = (self.lines[key][0] + times, self.lines[key][1] + times * size)
-        else:
-            self.lines[key] = (times, times * size)
-        while len(self.lines) > REPEATED:
-            least = min(t for t, _ in self.lines.values())
-            self.lines = {k: (t - least, c - least * (c // t)) for k, (t, c) in self.lines.items() if t > least}
+        """Add occurrences of a line that have ``size`` characters together."""
+        if self.lines is not None:
+            t, c = self.lines.get(key, (0, 0))
+            self.lines[key] = t + times, c + size
 
     def merge(self, other: State) -> State:
         """The state of this run followed by the other's."""
@@ -173,12 +175,12 @@ class State:
             counts, after = other.by[own[1]]
             own[0] = [a + b for a, b in zip(own[0], counts, strict=True)]
             own[1] = after
-        for k, (t, c) in other.lines.items():
-            self._repeat(k, t, c // t)
+        for k, (t, c) in (other.lines or {}).items():
+            self._repeat(k, t, c)
         return self
 
-    def done(self) -> tuple:
-        """Finish head and tail and derive the ratios."""
+    def done(self, repeated: int | None = None) -> tuple:
+        """Finish head and tail and derive the ratios; ``repeated``: characters of repeated lines, where they were counted elsewhere."""
         first, last = State(""), self.tail
         first._finish(self.head)
         whole = first
@@ -190,12 +192,13 @@ class State:
             whole.sums = [a + b for a, b in zip(whole.sums, rest.sums, strict=True)]
             counts, after = rest.by[whole.by[NONE][1]]
             whole.by[NONE] = [[a + b for a, b in zip(whole.by[NONE][0], counts, strict=True)], after]
-            for k, (t, c) in rest.lines.items():
-                whole._repeat(k, t, c // t)
+            for k, (t, c) in (rest.lines or {}).items():
+                whole._repeat(k, t, c)
             whole._finish(last)
         n = dict(zip(SUMS, whole.sums, strict=True))
         kinds = whole.by[NONE][0]
-        repeated = sum(c for t, c in whole.lines.values() if t >= 4)
+        if repeated is None:
+            repeated = sum(c for t, c in whole.lines.values() if t >= REPEATS)
         solid, words, lines = n["n_solid"], n["n_words"], n["n_lines"]
         if not solid:
             verdict = "blank"
@@ -222,6 +225,15 @@ RESULT = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "
 RESULT_DDL = "n_chars bigint, n_words bigint, n_lines bigint, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, other_share double, repeated_share double, verdict string"
 
 
+def repeated_characters(rows: DataFrame) -> DataFrame:
+    """(_row, repeated): non-blank characters of the lines that occur ``REPEATS`` times or more in the text of a row; rows without any are missing."""
+    lines = rows.select("_row", F.explode(F.split("text", "\n", -1)).alias("_line"))
+    lines = lines.select("_row", F.regexp_replace("_line", f"^{BLANK}|{BLANK}$", "").alias("_bare")).where(F.col("_bare") != "")
+    sized = lines.select("_row", F.xxhash64("_bare").alias("_key"), F.length(F.regexp_replace("_bare", BLANK, "")).alias("_size"))
+    counts = sized.groupBy("_row", "_key").agg(F.count(F.lit(1)).alias("_times"), F.sum("_size").alias("_chars"))
+    return counts.where(F.col("_times") >= REPEATS).groupBy("_row").agg(F.sum("_chars").alias("repeated"))
+
+
 def text_quality(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Statistics and verdict of every row of ``documents`` (doc_id, text; other columns are ignored).
 
@@ -242,7 +254,7 @@ def text_quality(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", *RESULT]).astype({c: "Int64" for c in ("doc_id", "n_chars", "n_words", "n_lines")})
 
     out = short.mapInPandas(whole, f"doc_id bigint, {RESULT_DDL}")
-    rows = documents.where(long).withColumn("_row", F.monotonically_increasing_id())
+    rows = spill_table(documents.where(long).withColumn("_row", F.monotonically_increasing_id()), "long_texts")
     most = rows.agg(F.max(F.length("text")).alias("n")).first()["n"]
     if most is None:
         return out
@@ -251,7 +263,7 @@ def text_quality(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(state=[pickle.dumps(State(t)) for t in b.text])[["doc_id", "_row", "_no", "state"]]
+            yield b.assign(state=[pickle.dumps(State(t, counted=False)) for t in b.text])[["doc_id", "_row", "_no", "state"]]
 
     states = cuts.mapInPandas(partial, "doc_id bigint, _row bigint, _no bigint, state binary")
     left = -(-most // chunk)
@@ -270,9 +282,10 @@ def text_quality(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *pickle.loads(s).done()) for i, s in zip(b.doc_id, b.state, strict=True)]
+            rows = [(i, *pickle.loads(s).done(int(n))) for i, s, n in zip(b.doc_id, b.state, b.repeated, strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", *RESULT]).astype({"doc_id": "Int64"})
 
+    states = states.join(repeated_characters(rows), "_row", "left").select("doc_id", "state", F.coalesce("repeated", F.lit(0)).alias("repeated"))
     return out.unionByName(states.mapInPandas(finish, f"doc_id bigint, {RESULT_DDL}"))
 
 

@@ -224,6 +224,24 @@ def test_chunked_statistics_equal_whole_ones(spark, chunk):
     assert split == whole and len(whole) == len(texts) + 1
 
 
+def test_repeated_lines_are_counted_exactly(spark):
+    long = "we could also take it all and then keep it because they are never gone after this one is out of use " * 2
+    tenth = "".join(f"it is {k}\n" * (k % 10 > 0) or f"\u2003{long[:120].strip()} \n" for k in range(300))
+    cycled = "".join(f"so this is the {w} one of all that we have and it is here\n" for _ in range(50) for w in "abcdefghijkl")
+    thrice = "".join(f"so this is the {w} one of all that we have and it is here\n" for _ in range(3) for w in "abcdefghijklmnop")
+    df = spark.createDataFrame(list(enumerate([tenth, cycled, thrice, cycled.rstrip("\n"), "\n" * 90 + PROSE])), "doc_id bigint, text string")
+    want = {}
+    for r in df.collect():
+        lines = [x.strip() for x in r.text.split("\n") if x.strip()]
+        sizes = [len("".join(x.split())) for x in lines]
+        want[r.doc_id] = sum(n for x, n in zip(lines, sizes, strict=True) if lines.count(x) >= 4) / sum(sizes)
+    assert want[0] > 0.5 and want[1] == 1 and want[2] == 0
+    for chunk in (13, 500, quality.CHUNK):
+        got = {r.doc_id: r for r in quality.text_quality(df, chunk).collect()}
+        assert {i: r.repeated_share for i, r in got.items()} == want
+        assert [got[i].verdict for i in range(5)] == ["junk", "junk", "prose", "junk", "prose"]
+
+
 def test_state_merge_is_associative():
     rng = random.Random(2)
     text = PROSE + TABLE + "- x\n- y\n" + PROSE

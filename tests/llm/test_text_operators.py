@@ -291,6 +291,15 @@ def test_file_verdicts():
     assert file_verdict(own + "// Code generated by x. DO NOT EDIT.\n") == "handwritten"
 
 
+def test_markdown_that_is_no_document_is_measured():
+    rng = random.Random(12)
+    numbers = "const t = [\n" + "".join(f"  {rng.random():.6f}, {rng.randint(0, 99999)},\n" for _ in range(80)) + "];\n"
+    minified = "".join(f"var a{k}=function(b,c){{return b({rng.randint(0, 9)},c.d{k})}};" for k in range(60))
+    doc = PROSE * 6 + "\n```\n" + "let x = f(y);\n" * 4 + "```\n"
+    chinese = "这个文件说明了如何使用这个工具，并且给出了几个例子。" * 40
+    assert [file_verdict(t, "markdown") for t in (numbers, minified, doc, chinese)] == ["data", "minified", "handwritten", "handwritten"]
+
+
 def test_repair_is_per_sequence():
     one = "abcabcabcabcabcabcabcabc"
     assert handwritten.repair_shares([one, "xyzw", "", one])[0] == handwritten.repair_shares([one])[0] == handwritten.repair_shares(["q", one])[1]

@@ -300,6 +300,15 @@ def test_markdown_that_is_no_document_is_measured():
     assert [file_verdict(t, "markdown") for t in (numbers, minified, doc, chinese)] == ["data", "minified", "handwritten", "handwritten"]
 
 
+@pytest.mark.parametrize("size", [20, 200, 2_000, 50_000])
+def test_hex_and_escapes_are_data_at_any_length(size):
+    raw = random.Random(size).randbytes(size)
+    for body in (raw.hex(), "".join(f"\\x{b:02x}" for b in raw), "".join(f"\\{b:03o}" for b in raw), "".join(f"\\u{b:04x}" for b in raw)):
+        assert file_verdict(f'blob = "{body}"\n', "python") == "data"
+        assert file_verdict(f'blob = b"{body}"\n', "python") == "data"
+    assert file_verdict('x = "' + "00ff" * size + '"\n', "python") == "handwritten"
+
+
 def test_repair_is_per_sequence():
     one = "abcabcabcabcabcabcabcabc"
     assert handwritten.repair_shares([one, "xyzw", "", one])[0] == handwritten.repair_shares([one])[0] == handwritten.repair_shares(["q", one])[1]

@@ -51,7 +51,7 @@ def _facts(s: SparkSession, d: str, flag: str) -> DataFrame:
 
 
 def _gap(s, d):
-    ranks = pagerank(ranked_edges(edges(s, d)), most=5, tolerance=0.0).select("node", F.round("rank", 6).alias("rank"))
+    ranks = pagerank(ranked_edges(edges(s, d))).select("node", F.round("rank", 6).alias("rank"))
     return coverage_gap(ranks, table(s, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("node")), 50)
 
 

@@ -174,7 +174,7 @@ def _two(spark, sf_dir):
 
 
 def q_pagerank(spark, sf_dir):
-    ranks = pagerank(ranked_edges(edges(spark, sf_dir)), most=10, tolerance=0.0)
+    ranks = pagerank(ranked_edges(edges(spark, sf_dir)))
     return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernel.functions import exprs
-from quernel.operators import clones, evidence, graph, history, index, notes, search
+from quernel.operators import clones, derived, evidence, graph, history, index, notes, search
 from quernel.streaming import feeds
 
 EDGE = "src bigint, dst bigint, kind string, confidence string"
@@ -33,6 +33,22 @@ def test_components_on_paths_stars_and_random_graphs(spark):
         assert got == brute_components([p for p in pairs if p[0] != p[1]])
 
 
+def test_registered_ranks_are_converged_on_long_chains(spark, monkeypatch):
+    chain = [(k, k + 1, "calls_name", "Exact") for k in range(24)]
+    table = spark.createDataFrame(chain, "src int, dst int, kind string, confidence string")
+    monkeypatch.setattr(graph, "edges", lambda s, d: table)
+    monkeypatch.setattr(derived, "edges", lambda s, d: table)
+    monkeypatch.setattr(derived, "table", lambda s, d, name: s.createDataFrame([(24, 1)], "s_suppkey int, s_nationkey int"))
+    rank = [1.0]
+    for _ in range(24):
+        rank.append(1 + 0.85 * rank[-1])
+    want = {k: x / sum(rank) for k, x in enumerate(rank)}
+    got = {r.node: r["rank"] for r in graph.q_pagerank(spark, "").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 3e-6 for k in want)
+    place = {r.node: r.place for r in derived._gap(spark, "").collect()}
+    assert [place[k] for k in (23, 20, 10, 0)] == [2, 5, 15, 25] and 24 not in place
+
+
 def test_pagerank_conserves_mass_and_personalises(spark):
     rows = [(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (3, 4, 2.0), (5, 4, 1.0)]
     links = spark.createDataFrame(rows, "src bigint, dst bigint, weight double")

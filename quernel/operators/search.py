@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quernel.functions.exprs import ascii_lower, capped, query_terms, rank_score, round4, terms
 from quernel.sources.tables import table
 
-#: Parameters of BM25, and the weights of the fused score (fixed values).
+#: Parameters of BM25, and the weights of the two lanes of the fused score (fixed values; the other lanes are open, see README).
 K1, B = 1.2, 0.75
-FUSION = {"bm25": 0.45, "vector": 0.35, "symbol": 0.10, "graph": 0.05, "git": 0.03, "papertrail": 0.02}
+FUSION = {"bm25": 0.45, "vector": 0.35}
 #: Candidates for each hit that is asked for, and the least that are.
 OVERFETCH, LEAST_FETCH = 8, 10
 

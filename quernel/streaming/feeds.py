@@ -6,30 +6,49 @@ rows give the same state; every state is published as a whole generation, and a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quernel.operators.changefeed import accepted_changes, fold_changes
+from quernel.operators.changefeed import KEY, TIPS_BROADCAST_ROWS, accepted_changes, fold_changes
+from quernel.plans.cluster import broadcast_if_small
 from quernel.plans.generations import current, publish, read_current
 
 #: Quiet time that ends a burst of events, and the longest a burst may last (milliseconds, fixed values).
 QUIET_MS, LATENCY_MS = 400, 2_500
 
 
-def apply_feed(entries: DataFrame, tips: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Fold a stream of feed entries into the state published under ``root``.
+#: The columns of a feed entry that its change depends on.
+ENTRY_COLUMNS = ("stream_id", "device_fingerprint", "lamport", *KEY, "op", "stated_lamport", "stated_device_fingerprint", "synced_hash")
 
-    Entries above their chain's tip don't count and are not kept: deliver them again when the tip has moved.
-    """
 
-    def fold(batch: DataFrame, _: int) -> None:
-        state = read_current(batch.sparkSession, root) if current(batch.sparkSession, root) else None
-        publish(fold_changes(accepted_changes(batch, tips), state), root)
+def apply_feed(entries: DataFrame, tips: DataFrame | Callable[[], DataFrame], root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Fold a stream of feed entries into the state published under ``root``.
 
+    Entries above their chain's tip, or of a chain without one, are parked in the table published under ``root``
+    with the suffix ``-parked`` and are folded again at the start and with each batch. ``tips``: a table, or a
+    function that reads it anew for each batch.
+    """
+    spark, aside = entries.sparkSession, root.rstrip("/") + "-parked"
+
+    def fold(batch: DataFrame | None, _: int) -> None:
+        session = spark if batch is None else batch.sparkSession
+        parked = read_current(session, aside).select(*ENTRY_COLUMNS) if current(session, aside) else None
+        rows = [x for x in (parked, None if batch is None else batch.select(*ENTRY_COLUMNS)) if x is not None]
+        rows = (rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])).distinct()
+        now = tips() if callable(tips) else tips
+        state = read_current(session, root) if current(session, root) else None
+        # the state first: what is parked twice after a failure in between is folded again and changes nothing
+        publish(fold_changes(accepted_changes(rows, now), state), root)
+        top = now.groupBy("stream_id", "device_fingerprint").agg(F.max("lamport").alias("_tip"))
+        above = rows.join(broadcast_if_small(top, TIPS_BROADCAST_ROWS), ["stream_id", "device_fingerprint"], "left").where(F.col("_tip").isNull() | (F.col("lamport") > F.col("_tip")))
+        publish(above.select(*ENTRY_COLUMNS), aside)
+
+    if current(spark, aside):
+        fold(None, -1)
     writer = entries.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

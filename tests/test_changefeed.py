@@ -102,3 +102,19 @@ def test_stream_gives_the_batch_state(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.row_pk: r.synced_hash for r in c.live_rows(read_current(spark, f"file://{tmp_path}/out")).collect()}
     assert got == state(spark, rows, TIPS)
+
+
+def test_entries_above_the_tip_count_once_it_moves(spark, tmp_path):
+    from quernel.streaming.feeds import apply_feed
+
+    rng = random.Random(4)
+    rows = [entry(rng.choice("ab"), rng.randint(1, 10), rng.choice(["upsert", "remove"]), rng.choice("pqrstu"), f"h{k}") for k in range(60)]
+    moved = TIPS
+    low = [(s, d, 3, k) for s, d, _, k in TIPS]
+    spark.createDataFrame(rows, ENTRY).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    stream = spark.readStream.schema(ENTRY).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    for tips in (low, low, moved):
+        apply_feed(stream, spark.createDataFrame(tips, TIP), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination(120)
+        got = {r.row_pk: r.synced_hash for r in c.live_rows(read_current(spark, f"file://{tmp_path}/out")).collect()}
+        assert got == state(spark, rows, tips)
+    assert state(spark, rows, low) != state(spark, rows, moved)

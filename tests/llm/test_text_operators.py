@@ -268,8 +268,8 @@ def test_verdicts():
 
 
 # -- generated, minified, vendored, data
-def file_verdict(text, name="typescript"):
-    kinds, (data, blanks, line, claim) = handwritten._measure(text, name)
+def file_verdict(text, name="typescript", path=None):
+    kinds, (data, blanks, line, claim) = handwritten._measure(text, name, path)
     grammar, rules = handwritten.repair_shares([kinds])[0]
     return handwritten.verdict(len(kinds), grammar, rules, data, blanks, line, claim)
 
@@ -291,6 +291,14 @@ def test_file_verdicts():
     assert file_verdict(own + "// Code generated by x. DO NOT EDIT.\n") == "handwritten"
 
 
+def test_vendor_directories_are_whole_names():
+    yes = ["vendor/x/a.rs", "src/Third_Party/y/a.py", "a/b/node_modules/c/d.ts", "Pods/a.swift", "a\\extern\\b.c", "deps/a.go"]
+    no = [None, "", "vendor", "a/vendor.py", "crates/vendoring/a.rs", "src/external_api/a.ts", "tools/deps.go", "docs/vendor-notes/a.md"]
+    assert all(map(handwritten.in_vendor_directory, yes)) and not any(map(handwritten.in_vendor_directory, no))
+    data = "const t = [" + ", ".join(str(k * 2654435761 % 2**32) for k in range(200)) + "];\n"
+    assert [file_verdict(*x) for x in ((data, "typescript", "vendor/a.ts"), ("// @generated by x from y\n", "typescript", "vendor/a.ts"), ("let x = 1;\n", "typescript", "vendor/a.ts"), ("let x = 1;\n", None, None))] == ["data", "generated", "vendored", "handwritten"]
+
+
 def test_markdown_that_is_no_document_is_measured():
     rng = random.Random(12)
     numbers = "const t = [\n" + "".join(f"  {rng.random():.6f}, {rng.randint(0, 99999)},\n" for _ in range(80)) + "];\n"

@@ -14,15 +14,17 @@ from quernel.llm.peg import IDENT, NUMBER, STRING, Grammar, Tokens
 _ESCAPED = r"(?:[^{q}\\\n]|\\[\s\S])*+"
 DOUBLE = '"' + _ESCAPED.format(q='"') + '"'
 SINGLE = "'" + _ESCAPED.format(q="'") + "'"
+#: Nested comments up to three levels; ``Language.resolved`` takes deeper ones.
 BLOCK_COMMENT, NESTED_COMMENT = r"/\*[\s\S]*?\*/", r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/)*+\*/)*+\*/"
 C_NUMBER = r"\.?\d(?:[eEpP][+-]|['\w.])*+"
 
 
 class Language:
-    """Turns a source into tokens. ``newlines``: None (blank), "soft" (may end a statement) or "layout" (indentation); ``grouped``: also inside ( and [."""
+    """Turns a source into tokens. ``newlines``: None (blank), "soft" (may end a statement) or "layout" (indentation); ``grouped``: also inside ( and [; ``nested``: block comments nest;
+    ``interpolation``: (quotes of strings that hold expressions, what opens an expression, its brackets)."""
 
     def __init__(self, grammar: str, words: str, operators: str, comments: str, strings: str, soft: str = "", number: str = r"0[xX][\da-fA-F_]+\w*+|0[bBoO][\d_]+\w*+|\d[\d_]*+(?:\.\d[\d_]*+)?+(?:[eE][+-]?+\d+)?+\w*+",
-                 extra: str = "", classes: dict | None = None, newlines: str | None = None, enders: str = "", joiners: str = "", grouped: bool = False):
+                 extra: str = "", classes: dict | None = None, newlines: str | None = None, enders: str = "", joiners: str = "", grouped: bool = False, nested: bool = False, interpolation: tuple[tuple[str, ...], str, str] | None = None):
         self.tokens = Tokens(words, operators, soft)
         self.grammar = Grammar(grammar, self.tokens, classes)
         ops = "|".join(map(re.escape, self.tokens.operators))
@@ -32,7 +34,7 @@ class Language:
         self.enders = frozenset(code + IDENT + NUMBER + STRING + self.tokens.soft)
         self.joiners = frozenset("".join(self.tokens.of(x) for x in joiners.split()))
         self.blank = str.maketrans("", "", " \t\r\f\v﻿" + ("\n" if newlines is None else ""))
-        self.grouped = grouped
+        self.grouped, self.nested, self.interpolation = grouped, nested, interpolation
         words_, ops_ = self.tokens.words, self.tokens.code
 
         def token(m: re.Match) -> str:
@@ -50,15 +52,21 @@ class Language:
         self.token = token
 
     def tokenise(self, text: str) -> str:
-        s = self.scan.sub(self.token, text)
+        return self._arranged(self.scan.sub(self.token, text), None)
+
+    def _arranged(self, s: str, at: list[int] | None) -> str:
+        """Scanned text without blanks and with the tokens that layout inserts; ``at`` (characters of ``s`` in the source) is changed with it."""
         if self.newlines == "layout":
-            return self._layout(s)
+            return self._layout(s, at)
+        if at is not None:
+            at[:] = [k for k, c in zip(at, s, strict=True) if ord(c) not in self.blank]
         s = s.translate(self.blank)
-        return self._soft(s) if self.newlines == "soft" else s
+        return self._soft(s, at) if self.newlines == "soft" else s
 
-    def _soft(self, s: str) -> str:
+    def _soft(self, s: str, at: list[int] | None) -> str:
         """Line feeds that end a statement become ';', others vanish; inside ( and [ all vanish."""
         out, last, stack, enders, joiners = [], 0, [], self.enders, self.joiners
+        places: list[int] = []
         for m in _NEST.finditer(s):
             c = m.group()
             if c in "([{":
@@ -69,24 +77,33 @@ class Language:
             else:
                 a, b = m.span()
                 out.append(s[last:a])
+                if at is not None:
+                    places += at[last:a]
                 last = b
                 before = s[a - 1] if a else "\n"
                 after = s[b] if b < len(s) else "\0"
                 if (self.grouped or not stack or stack[-1] == "{") and (before in enders or before in ")]}") and after not in joiners:
                     out.append(";")
+                    if at is not None:
+                        places.append(at[a])
         out.append(s[last:])
+        if at is not None:
+            at[:] = places + at[last:]
         return "".join(out)
 
-    def _layout(self, s: str) -> str:
+    def _layout(self, s: str, at: list[int] | None) -> str:
         """Indentation becomes '{' and '}' of a block (the tokens > and < of layout), a logical line ends in a line feed."""
-        out, indents, depth = [], [0], 0
-        for line in s.replace("\\\n", " ").replace("\r", "").split("\n"):
-            bare = line.lstrip(" \t\f﻿")
+        out, indents, depth, start = [], [0], 0, 0
+        places: list[int] = []
+        for line in s.replace("\\\n", "  ").split("\n"):
+            bare = line.lstrip(" \t\r\f\ufeff")
             tokens = bare.translate(self.blank)
+            here, start = start, start + len(line) + 1
             if not tokens:
                 continue
+            first = len(out)
             if depth == 0:
-                width = len(line[: len(line) - len(bare)].expandtabs(8))
+                width = len(line[: len(line) - len(bare)].replace("\r", "").expandtabs(8))
                 if width > indents[-1]:
                     indents.append(width)
                     out.append(_INDENT)
@@ -95,30 +112,97 @@ class Language:
                     out.append(_DEDENT)
                 if width != indents[-1]:
                     out.append(_BAD)
+            if at is not None:
+                own = [k for k, c in zip(at[here + len(line) - len(bare) : here + len(line)], bare, strict=True) if ord(c) not in self.blank]
+                places += own[:1] * (len(out) - first) + own
             out.append(tokens)
             depth += sum(map(tokens.count, "([{")) - sum(map(tokens.count, ")]}"))
             if depth <= 0:
                 depth = 0
                 out.append("\n")
+                if at is not None:
+                    places.append(places[-1])
         out.append(_DEDENT * (len(indents) - 1))
+        if at is not None:
+            at[:] = places
         return "".join(out)
 
     def offset(self, text: str, token: int) -> int:
-        """Character of ``text`` at which the given token starts, as near as blanks and layout allow."""
-        ends = []
-        at = 0
+        """Character of ``text`` at which the given token starts; one that layout inserts stands at its neighbour, one past the last at the end."""
+        pieces, at, last = [], [], 0
         for m in self.scan.finditer(text):
-            ends += [k for k in range(at, m.start()) if not text[k].isspace()]
-            if m.lastgroup != "c":
-                ends.append(m.start())
-            at = m.end()
-        ends += [k for k in range(at, len(text)) if not text[k].isspace()]
-        if self.newlines:  # inserted tokens count too: place by share of the real ones
-            total = max(len(self.tokenise(text)), 1)
-            token = min(int(token / total * len(ends)), len(ends))
-        return ends[token] if token < len(ends) else len(text)
+            got = self.token(m)
+            pieces += (text[last : m.start()], got)
+            at += range(last, m.start())
+            at += [m.start()] * len(got)
+            last = m.end()
+        pieces.append(text[last:])
+        at += range(last, len(text))
+        self._arranged("".join(pieces), at)
+        return at[token] if token < len(at) else len(text)
+
+    def resolved(self, text: str) -> str | None:
+        """The source with comments of any nesting blanked and strings that hold expressions as those in parentheses, of equal length.
+
+        None where the source has neither, so that ``tokenise`` saw it as it is.
+        """
+        quotes, opening, brackets = self.interpolation or ((), "\0", "\0\0")
+        if not (self.nested and "/*" in text) and opening not in text:
+            return None
+        out, stack, pos = list(text), [], 0
+
+        def literal(k: int, quote: str) -> int:
+            while k < len(text):
+                if text.startswith(quote, k):
+                    out[k : k + len(quote)] = ")" + " " * (len(quote) - 1)
+                    return k + len(quote)
+                if text.startswith(opening, k):
+                    out[k : k + 2] = " ("
+                    stack.append([0, quote])
+                    return k + 2
+                step = 2 if text[k] == "\\" else 1
+                out[k : k + step] = " " * len(out[k : k + step])
+                k += step
+            return k
+
+        while pos < len(text):
+            m = self.scan.search(text, pos)
+            jump = None
+            for k in range(pos, m.start() if m else len(text)):
+                c = text[k]
+                if stack and c == brackets[0]:
+                    stack[-1][0] += 1
+                elif stack and c == brackets[1]:
+                    if stack[-1][0]:
+                        stack[-1][0] -= 1
+                    else:
+                        out[k] = ")"
+                        jump = literal(k + 1, stack.pop()[1])
+                        break
+                elif c in quotes:
+                    out[k] = "("
+                    jump = literal(k + 1, c)
+                    break
+            if jump is None and m:
+                jump, found = m.end(), m.group()
+                if self.nested and found.startswith("/*"):
+                    depth = 0
+                    for x in _COMMENT_EDGE.finditer(text, m.start()):
+                        depth += 1 if x.group() == "/*" else -1
+                        if not depth:
+                            jump = x.end()
+                            out[m.start() : jump] = re.sub(r"[^\n]", " ", text[m.start() : jump])
+                            break
+                elif m.lastgroup == "s" and opening in found and (quote := next((q for q in quotes if found.startswith(q)), None)):
+                    out[m.start() : m.start() + len(quote)] = "(" + " " * (len(quote) - 1)
+                    jump = literal(m.start() + len(quote), quote)
+            if jump is None:
+                break
+            pos = jump
+        return "".join(out)
 
 
+_COMMENT_EDGE = re.compile(r"/\*|\*/")
 _NEST = re.compile(r"[()\[\]{}]|\n+")
 _INDENT, _DEDENT, _BAD = "", "", ""
 
@@ -235,6 +319,7 @@ sfield <- attr* ('..' expr? / (IDENT / NUMBER) (':' expr)?)
         classes=_CLOSE
         | _QUICK_SETS
         | {"SEG": "i union raw self Self super crate", "UNION": "union", "CHAR": "x", "LIFE": "y", "BINARY": "+ - * / % ^ & | < > == != <= && || = += -= *= /= %= ^= &= |= <<", "JUMPS": "return break continue", "CLOSURES": "async move || |", "ITEMS": "use mod unsafe const async extern fn struct union enum trait impl static type i :: self super crate raw < Self", "BLOCKS": "y if match while loop for unsafe async const {", "BLOCKY": "if match while loop for unsafe { y", "ITEM": "fn struct enum trait impl use mod static type pub extern"},
+        nested=True,
     )
 
 
@@ -486,6 +571,7 @@ jump <- 'throw' expr / 'return' ('@' IDENT)? expr? / 'break' ('@' IDENT)? / 'con
                  "MODIFIER": "public private protected internal open abstract sealed data enum annotation override final lateinit const inline noinline crossinline operator infix tailrec external vararg inner expect actual reified value suspend companion", "INIT": "init", "GET": "get", "SET": "set", "OUT": "out", "WHERE": "where", "SUSPEND": "suspend", "CATCH": "catch", "FINALLY": "finally",
                  "PREFIX": "- + ! ++ --", "BINARY": "+ - * / % < == != === !== <= && || .. ..<", "ASSIGN": "= += -= *= /= %=", "CONTROL": "for while do val var fun class object interface typealias", "UNARY_START": "i 0 s ( x true false null this"},
         newlines="soft", enders="x break continue return this super null true false ++ -- !! > *", joiners=". ?. ?: ) ] && || as == != <= < > / % else -> : =",
+        nested=True, interpolation=(('"""', '"'), "${", "{}"),
     )
 
 
@@ -573,6 +659,7 @@ if_expr <- if / switch
            "OPERATOR": "+ - * / % < > = ! & | ^ ~ ? == != <= >= && || ?? += -= *= /= ... ..< << >>", "TRY_MARK": "? !", "PREFIX": "- + ! ~ ... ..<", "BINARY": "+ - * / % < > == != === !== <= >= && || ?? ... ..< & | ^ &+ &- &* << >>", "ASSIGN": "= += -= *= /= %=", "BACKSLASH": "\\",
            "CONTROL": "if guard while repeat for switch do defer let var func struct class enum protocol extension import return break continue fallthrough throw typealias"},
         newlines="soft", enders="x break continue fallthrough return self Self super nil true false ++ -- > ! ? _", joiners=". ) ] && || ?? == != <= >= + * / % -> : = ? else where",
+        nested=True, interpolation=(('"""', '"'), "\\(", "()"),
     )
 
 
@@ -657,6 +744,7 @@ mapped <- ('+' / '-')? READONLY? '[' IDENT 'in' type (AS type)? ']' ('+' / '-')?
                  "MODIFIER_TYPE": "readonly", "ASSIGN": "= += -= *= /= %= **= <<= &= |= ^= &&= ||= ??=", "BINARY": "+ - * / % ** < << <= == != === !== & | ^ && || ?? instanceof in", "PREFIX": "+ - ! ~ ++ -- typeof void delete",
                  "ARROW": "( < i as from of type interface namespace module declare abstract async await get set readonly public private protected override implements is asserts keyof unique infer global satisfies out", "FLOW": "if while do for switch try throw return break continue debugger", "DECLARES": "declare const let var function class interface type enum namespace module global abstract async", "CONTROL": "if while do for switch try throw return break continue debugger { function class const let var import export enum @ ;", "STATEMENT": "if while do for switch try throw return break continue function class const let var import export enum interface type declare namespace abstract async"},
         newlines="soft", enders="x this super null true false break continue return ++ -- > ! void static", joiners=". ?. ) ] && || ?? + - * / % = == === != !== <= < > ? : => , & | in instanceof as",
+        interpolation=(("`",), "${", "{}"),
     )
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from quernel.llm.chunk_source import language_name, load_sources, whole_source
 
 _MARKER = re.compile(r"^(?:<{7} .*|={7}|>{7} .*|\|{7} .*)$", re.M)
-#: Nesting up to which a source is parsed; deeper sources come out with cause ``depth``.
-DEPTH = 60_000
+#: Frames that a token of nesting may take in the parser (frames are on the heap, about 130 bytes each).
+FRAMES = 128
 
 REPORT = "file_id bigint, repo_id string, path string, language string, valid boolean, failure_char bigint, failure_line bigint, cause string"
 
@@ -29,20 +29,20 @@ def parse_source(text: str, name: str) -> tuple[bool, int, str | None]:
     """Whether ``text`` is valid, the character of the furthest failure (its length if valid) and the cause.
 
     Causes: ``merge_conflict`` (a marker line outside strings and comments), ``truncated`` (the end came too
-    early), ``other_format`` (it is valid in another language or as JSON, or is a page), ``syntax``, ``depth``.
-    An empty text is valid.
+    early), ``other_format`` (it is valid in another language or as JSON, or is a page), ``syntax``.
+    An empty text is valid. Nesting is not bounded: the interpreter's limit follows the number of tokens.
     """
     from quernel.llm.grammars import LANGUAGES, language
 
     own = language(name)
-    try:
-        tokens = own.tokenise(text)
-        valid, token = own.grammar.parse(tokens)
-    except RecursionError:
-        return False, 0, "depth"
+    tokens, valid, token = _parsed(own, text)
+    seen = text
+    if not valid and (resolved := own.resolved(text)) is not None:
+        tokens, valid, token = _parsed(own, resolved)
+        seen = resolved
     if valid:
         return True, len(text), None
-    at = own.offset(text, token)
+    at = own.offset(seen, token)
     line = text.rfind("\n", 0, at) + 1
     end = text.find("\n", line)
     markers = [m.start() for m in _MARKER.finditer(text)]
@@ -53,6 +53,12 @@ def parse_source(text: str, name: str) -> tuple[bool, int, str | None]:
     return False, at, "truncated" if token >= len(tokens) - 1 else "syntax"
 
 
+def _parsed(lang, text: str) -> tuple[str, bool, int]:
+    tokens = lang.tokenise(text)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES * len(tokens) + 10_000))
+    return tokens, *lang.grammar.parse(tokens)
+
+
 def _other_format(text: str, name: str, names) -> bool:
     from quernel.llm.grammars import language
 
@@ -67,13 +73,9 @@ def _other_format(text: str, name: str, names) -> bool:
             pass
     for other in names:
         if other != name:
-            lang = language(other)
-            try:
-                tokens = lang.tokenise(text)
-                if tokens.strip("\n;") and lang.grammar.parse(tokens)[0]:
-                    return True
-            except RecursionError:
-                pass
+            tokens, valid, _ = _parsed(language(other), text)
+            if valid and tokens.strip("\n;"):
+                return True
     return False
 
 
@@ -88,7 +90,6 @@ def parse_files(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from quernel.llm.grammars import LANGUAGES
 
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
         for b in batches:
             rows = []
             for i, repo, path, name, parts in zip(b.file_id, b.repo_id, b.path, b.language, b.parts, strict=True):

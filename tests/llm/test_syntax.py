@@ -84,6 +84,45 @@ def test_causes():
     assert syntax.parse_source("x = " + "(" * 30_000, "python")[0] is False
 
 
+def test_positions_equal_the_compilers_lines():
+    lines = open(syntax.__file__).read().split("\n")
+    told = equal = 0
+    for k in range(0, len(lines), 3):
+        for edit in (lambda x: x + " )", lambda x: x + " = = 3", lambda x: "<<<<<<< HEAD\n" + x):
+            text = "\n".join([*lines[:k], edit(lines[k]), *lines[k + 1 :]])
+            try:
+                ast.parse(text)
+            except SyntaxError as e:
+                valid, at, _ = syntax.parse_source(text, "python")
+                assert not valid
+                told, equal = told + 1, equal + (text.count("\n", 0, at) + 1 == e.lineno)
+    assert told > 100 and equal >= 0.98 * told
+    go = "package a\n\nfunc f() {\n    x := 1\n\n    // note\n    y := g(x,\n        2)\n    if x { ]\n}\n"
+    assert go[syntax.parse_source(go, "go")[1]] == "]"
+    for name in ("kotlin", "swift", "typescript", "python"):  # each offset is the token's own character
+        own, text = language(name), "a = b(1,\n  2)\nc = d\n\n\ne = 'x'\n"
+        tokens = own.tokenise(text)
+        for k, c in enumerate(tokens):
+            if c in "()=,":
+                assert text[own.offset(text, k)] == c
+
+
+def test_deep_nesting_templates_and_comments():
+    assert syntax.parse_source("int x = " + "(" * 8_000 + "1" + ")" * 8_000 + ";", "c")[0]
+    assert syntax.parse_source("x = " + "[" * 20_000 + "1" + "]" * 20_000 + "\n", "python")[0]
+    assert not syntax.parse_source("x = " + "[" * 20_000 + "1" + "]" * 19_999 + "\n", "python")[0]
+    template = "const z = `a ${x.map(y => { return { k: { z: `q${y}` } } })} b`;\n"
+    assert syntax.parse_source(template, "typescript")[0]
+    broken = template.replace("} } })", "} } )")
+    assert syntax.parse_source(broken, "typescript")[:2] == (False, broken.index(" )} b") + 1)
+    for name, good in {
+        "rust": "/* a /* b /* c /* d /* e */ */ */ */ */ fn f() {}\n", "kotlin": 'fun f() { println("a ${g("x", { b -> "c${b}" })} d") }\n', "swift": 'func f() { print("a \\(g("x", h: "c\\(b((1)))")) d") }\n',
+    }.items():
+        assert syntax.parse_source(good, name)[0]
+        assert not syntax.parse_source(good + "}", name)[0]
+    assert not syntax.parse_source("/* a /* b /* c /* d /* e */ */ */ */ fn f() {}\n", "rust")[0]
+
+
 ROW = "file_id bigint, repo_id string, path string, language string, parts array<struct<start_byte:bigint,chunk_id:bigint,blob:binary>>, valid int"
 
 

@@ -1,16 +1,21 @@
 """Near-duplicate records: MinHash LSH forest, then exact verification.
 
 A text is the set of its runs of ``shingle`` consecutive words. Equal sets are one class, named by the set's
-64-bit hash, so copies never multiply work. A signature has ``TREES`` x ``DEPTH`` minima; each tree is
-the trie of its minima, and a node of the trie is a prefix of them. Matching starts at full depth and
-prefixes are shortened until two sets at the threshold meet in some tree with probability
-``TARGET_RECALL``. Members of a node that has more than one class are candidates; every candidate pair is
-verified on the whole sets. Nodes with over ``NODE`` classes are cut into blocks whose pairs of blocks run as
-separate tasks that drop pairs by size and by a sketch before verification, so no node is capped.
+64-bit hash, so copies never multiply work. A signature has ``TREES`` labels of full depth, of one
+minimum a level; the labels of a tree in sorted order are its prefix trie, and a node is a prefix.
+
+Every class is matched at full depth first and its prefixes are shortened tree by tree, always where that adds
+the fewest candidates, until a set at the threshold meets it with probability ``TARGET_RECALL``. In a tree where
+the node at the shortest depth that may be needed is small, shortening that far costs next to nothing; only
+for classes in larger nodes are the depths chosen one by one (``choose_depths``). Members of the nodes
+so reached are candidates; every candidate pair is verified on the whole sets. Large nodes are cut into blocks
+whose pairs of blocks run as separate tasks, so no node is capped.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,16 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators.graph import connected_components
-from quernel.plans.cluster import broadcast_if_small, spill_table
+from quernel.plans.cluster import spill_table
 from quernel.sources.tables import table
 
 #: For queries that state nothing else: five words, similarity 0.8.
 SHINGLE, THRESHOLD, MEMBERS = 5, 0.8, 1
-TREES, DEPTH, TARGET_RECALL = 32, 4, 0.999
+TREES, TARGET_RECALL = 32, 0.999
+#: Levels of a tree below the depth that meets the target at the threshold in every tree.
+DEEPER = 2
 #: Classes of a node that are paired at once; classes of a block of a larger node.
 NODE, BLOCK = 64, 512
-#: Keys shared by several classes that are broadcast (16 bytes each); more are joined by shuffle.
-KEYS_BROADCAST = 1_000_000
 #: How many standard errors of the sketch's estimate a pair may lie below the threshold and still be verified.
 SLACK = 5.0
 SEED = 104_729
@@ -43,23 +48,46 @@ def words_of(blob: bytes) -> list[bytes]:
     return _WORD.findall(blob.lower())
 
 
-def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix at which sets of that similarity meet in some tree with the target probability, 1 at least."""
+def prefix_depth(threshold: float, trees: int = TREES, target: float = TARGET_RECALL) -> int:
+    """The longest prefix at which sets of that similarity meet in some tree with the target probability, 1 at least, 8 at most."""
+    depth = 8
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
         depth -= 1
     return depth
 
 
+def choose_depths(sizes: list[list[int]], threshold: float, target: float = TARGET_RECALL) -> list[int]:
+    """How many levels below the shortest depth a class keeps in each tree whose node there is large.
+
+    ``sizes`` has a row a tree: the sizes of the class's nodes at the shortest depth and each level below.
+    All start at full depth; the prefix whose shortening adds the fewest candidates for the miss it saves is
+    shortened until a set at the threshold is missed with probability 1 - ``target`` or less. All other trees are
+    matched at the shortest depth.
+    """
+    least = prefix_depth(threshold)
+    miss = [math.log1p(-min(threshold ** (least + d), 1 - 1e-12)) for d in range(DEEPER + 1)]
+    left = [DEEPER] * len(sizes)
+    total = (TREES - len(sizes)) * miss[0] + len(sizes) * miss[DEEPER]
+    heap = [((own[DEEPER - 1] - own[DEEPER]) / (miss[DEEPER] - miss[DEEPER - 1]), t) for t, own in enumerate(sizes)]
+    heapq.heapify(heap)
+    while total > math.log(1 - target) and heap:
+        _, t = heapq.heappop(heap)
+        d = left[t] = left[t] - 1
+        total += miss[d] - miss[d + 1]
+        if d:
+            heapq.heappush(heap, ((sizes[t][d - 1] - sizes[t][d]) / (miss[d] - miss[d - 1]), t))
+    return left
+
+
 class Signer:
     """Shingle sets and signatures of texts, the same on every worker."""
 
     def __init__(self, shingle: int, threshold: float):
         rng = np.random.default_rng(SEED)
-        self.shingle, self.depth = shingle, prefix_depth(threshold)
+        self.shingle, self.depth = shingle, prefix_depth(threshold) + DEEPER
         self.mul = rng.integers(1, 2**63, TREES * self.depth, dtype=np.uint64) | np.uint64(1)
         self.add = rng.integers(0, 2**63, TREES * self.depth, dtype=np.uint64)
         self.step = rng.integers(1, 2**63, shingle, dtype=np.uint64) | np.uint64(1)
-        self.salt = rng.integers(1, 2**63, (TREES, self.depth), dtype=np.uint64) | np.uint64(1)
         self.known: dict[bytes, int] = {}
 
     def shingles(self, blob: bytes) -> np.ndarray:
@@ -90,14 +118,6 @@ class Signer:
             out[:, i] = np.minimum.reduceat((values * self.mul[i] + self.add[i]) >> np.uint64(32), starts)
         return out
 
-    def keys(self, minima: np.ndarray) -> np.ndarray:
-        """sets x TREES keys of the trie nodes at the working depth."""
-        m = minima.reshape(len(minima), TREES, self.depth).astype(np.uint64)
-        k = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), m.shape[:2]).copy()
-        for d in range(self.depth):
-            k = (k ^ (k >> np.uint64(30)) ^ m[:, :, d]) * self.salt[:, d]
-        return (k ^ (k >> np.uint64(31))).view(np.int64)
-
 
 def class_of(shingles: np.ndarray) -> int:
     """The class of a set: a 64-bit hash of its sorted shingles."""
@@ -108,7 +128,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 @dataclass(frozen=True)
 class Forest:
-    """Signatures (id, class, members, keys, sketch) of ``texts`` (id, blob), and what they were made with."""
+    """Signatures (id, class, members, sketch) of ``texts`` (id, blob), and what they were made with."""
 
     signatures: DataFrame
     texts: DataFrame
@@ -116,7 +136,8 @@ class Forest:
     threshold: float
 
 
-SIGNED = "id bigint, class bigint, members int, keys array<bigint>, sketch binary"
+#: ``sketch``: TREES labels of full depth, 16 bits a minimum.
+SIGNED = "id bigint, class bigint, members int, sketch binary"
 
 
 def signed(texts: DataFrame, shingle: int, threshold: float, members: int) -> DataFrame:
@@ -142,7 +163,6 @@ def signed(texts: DataFrame, shingle: int, threshold: float, members: int) -> Da
                         "id": ids,
                         "class": [class_of(s) for s in sets],
                         "members": [len(s) for s in sets],
-                        "keys": list(signer.keys(minima)),
                         "sketch": [x.tobytes() for x in sketch],
                     }
                 )
@@ -156,15 +176,55 @@ def least_agreement(threshold: float, minima: int) -> float:
     return threshold - SLACK * (threshold * (1 - threshold) / minima) ** 0.5
 
 
+def _keyed(signatures: DataFrame, threshold: float) -> DataFrame:
+    """(class, key): the node of each class at the shortest depth, in every tree; the last five bits are the tree."""
+    least = prefix_depth(threshold)
+    width = 2 * (least + DEEPER)
+    rows = signatures.select("class", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    prefix = F.expr(f"substring(sketch, {width} * tree + 1, {2 * least})")
+    return rows.select("class", F.xxhash64(prefix, "tree").bitwiseAND(F.lit(-TREES)).bitwiseOR(F.col("tree").cast("bigint")).alias("key"))
+
+
+def _chosen(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(class, node, depth, n, asks): the nodes of large nodes' members, from the shortest depth (0) down, their sizes, and whether the class is matched there.
+
+    A node of one class is left out.
+    """
+    least = prefix_depth(threshold)
+    width = 2 * (least + DEEPER)
+    rows = members.join(sketches.select("class", "sketch"), "class")
+    rows = rows.select("class", "key", "n", F.expr(f"substring(sketch, cast({width} * (key & {TREES - 1}) + {2 * least} + 1 as int), {2 * DEEPER})").alias("rest"))
+    rows = rows.withColumn("node0", F.col("key"))
+    for d in range(1, DEEPER + 1):
+        rows = rows.withColumn(f"node{d}", F.xxhash64("key", F.expr(f"substring(rest, 1, {2 * d})")))
+    rows = spill_table(rows.drop("rest", "n"), "large-nodes")
+    for d in range(DEEPER + 1):
+        rows = rows.join(rows.groupBy(f"node{d}").agg(F.count(F.lit(1)).alias(f"n{d}")), f"node{d}")
+    nodes = F.struct(*[F.col(f"{x}{d}") for d in range(DEEPER + 1) for x in ("node", "n")])
+    own = rows.groupBy("class").agg(F.collect_list(nodes).alias("trees"))  # TREES at most
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for c, trees in zip(b["class"], b.trees, strict=True):
+                left = choose_depths([[t[f"n{d}"] for d in range(DEEPER + 1)] for t in trees], threshold)
+                out += [(c, t[f"node{d}"], d, t[f"n{d}"], d == at) for t, at in zip(trees, left, strict=True) for d in range(DEEPER + 1) if t[f"n{d}"] > 1]
+            yield pd.DataFrame(out, columns=["class", "node", "depth", "n", "asks"]).astype({"class": "int64", "node": "int64", "depth": "int32", "n": "int64", "asks": "bool"})
+
+    return own.mapInPandas(choose, "class bigint, node bigint, depth int, n bigint, asks boolean")
+
+
 def _hot_pairs(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of the classes of large nodes, block against block, that size and sketch allow."""
-    blocked = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class").distinct()
+    """Pairs of a class and the members of its large nodes at the depths chosen for it, block against block, that size and sketch allow."""
+    rows = spill_table(_chosen(members, sketches, threshold), "chosen-depths")
+    blocks = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = blocks.where("asks").withColumn("i", spread).select("node", "i", F.col("block").alias("j"), F.lit(True).alias("asks"), "class")
+    asked = rows.where("asks").select("node").distinct()
+    index = blocks.join(asked, "node", "left_semi").withColumn("j", spread).select("node", F.col("block").alias("i"), "j", F.lit(False).alias("asks"), "class")
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(own.i.iloc[0]), int(own.j.iloc[0])
-        left, right = own[own.block == i], own[own.block == j]
+        left, right = own[own.asks], own[~own.asks]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         s, t = (np.frombuffer(b"".join(map(bytes, x.sketch)), np.uint16).reshape(len(x), -1) for x in (left, right))
@@ -178,13 +238,13 @@ def _hot_pairs(members: DataFrame, sketches: DataFrame, threshold: float) -> Dat
         keep = a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
 
-    return pairs.join(sketches, "class").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return asking.unionByName(index).join(sketches, "class").groupBy("node", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def _sets(forest: Forest, classes: DataFrame) -> DataFrame:
     """(class, shingles) of the given classes, made again from one text of each."""
-    ids = forest.signatures.select("class", "id").join(broadcast_if_small(classes, KEYS_BROADCAST), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id")
-    texts = forest.texts.select("id", "blob").join(broadcast_if_small(spill_table(ids, "representatives"), KEYS_BROADCAST), "id", "left_semi")
+    ids = forest.signatures.select("class", "id").join(classes, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).select("id")
+    texts = forest.texts.select("id", "blob").join(ids, "id", "left_semi")
     shingle, threshold = forest.shingle, forest.threshold
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,11 +267,10 @@ def _agree(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Dat
 def similar_classes(forest: Forest) -> DataFrame:
     """(a, b, similarity): verified pairs a < b of classes."""
     threshold = forest.threshold
-    keyed = forest.signatures.select("class", F.explode("keys").alias("key"))
+    keyed = _keyed(forest.signatures, threshold)
     shared = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    shared = spill_table(shared, "shared-nodes")
-    members = spill_table(keyed.join(broadcast_if_small(shared, KEYS_BROADCAST), "key").distinct(), "node-members")
-    sketches = forest.signatures.select("class", "members", "sketch").join(broadcast_if_small(members.select("class").distinct(), KEYS_BROADCAST), "class", "left_semi")
+    members = spill_table(keyed.join(shared, "key").distinct(), "node-members")
+    sketches = forest.signatures.select("class", "members", "sketch").join(members.select("class").distinct(), "class", "left_semi")
     sketches = spill_table(sketches.groupBy("class").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch")), "sketches")
     later = F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     few = members.where(F.col("n") <= NODE).groupBy("key").agg(F.sort_array(F.collect_set("class")).alias("own"))

@@ -209,6 +209,23 @@ def test_hot_nodes_lose_nothing(spark, monkeypatch):
     assert got <= want and len(got) >= 0.995 * len(want)
 
 
+def test_depths_follow_node_sizes_and_meet_the_target():
+    n = near_duplicates
+    least = n.prefix_depth(0.6)
+    assert least == 3 and n.prefix_depth(0.8) == 7 and n.prefix_depth(1.0) == 8
+    rng = random.Random(4)
+    for trees in (0, 1, 5, 32):
+        sizes = [sorted((rng.randint(1, 10_000) for _ in range(n.DEEPER + 1)), reverse=True) for _ in range(trees)]
+        left = n.choose_depths(sizes, 0.6)
+        missed = (1 - 0.6**least) ** (n.TREES - trees)
+        for d in left:
+            missed *= 1 - 0.6 ** (least + d)
+        assert missed <= 1 - n.TARGET_RECALL + 1e-12
+        assert trees < 5 or any(left)  # some prefixes stay longer than the shortest
+    huge = n.choose_depths([[1_000_000, 900_000, 10], [70, 2, 1], [70, 2, 1]], 0.6)
+    assert huge[0] == n.DEEPER
+
+
 # -- quality
 PROSE = "The old visitor, which used to average every shard, is gone since the rewrite. We could also link it, but then it is not clear why anybody would want to.\n"
 TABLE = "| a | b | c |\n|---|---|---|\n" + "".join(f"| {k} | row | {k}.5 |\n" for k in range(8))

@@ -99,19 +99,20 @@ def accepted_changes(entries: DataFrame, tips: DataFrame) -> DataFrame:
     return changes.join(broadcast_if_small(top, TIPS_BROADCAST_ROWS), ["_s", "_d"]).where(F.col("_own") <= F.col("_tip")).select(*STATE_COLUMNS)
 
 
-def fold_changes(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def fold_changes(changes: DataFrame, state: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """State after all ``changes``, tombstones (``removed``) kept, one row per key.
 
     ``state`` is an earlier result to continue from; its clocks compete like any change. Both need the
-    columns ``STATE_COLUMNS``; others are ignored. No changes give an empty state.
+    columns ``STATE_COLUMNS``; others are ignored. No changes give an empty state. ``most``: an upper bound of the
+    number of changes where one is known without reading them (the buckets' number follows it).
     """
     spark = changes.sparkSession
     changes = changes.select(*STATE_COLUMNS)
+    rows = (changes.count() if most is None else most) + (0 if state is None else state.count())
     if state is not None:
         changes = changes.unionByName(state.select(*STATE_COLUMNS))
     folded = changes.mapInArrow(_upsert, changes.schema)
-    buckets = tasks_for(spark, changes.count(), ROWS_PER_BUCKET) if state is None else tasks_for(spark, 1, 1)
-    return folded.repartition(buckets, *KEY).mapInArrow(_upsert, changes.schema)
+    return folded.repartition(tasks_for(spark, rows, ROWS_PER_BUCKET), *KEY).mapInArrow(_upsert, changes.schema)
 
 
 def publish_state(state: DataFrame, root: str) -> DataFrame:
@@ -127,8 +128,9 @@ def live_rows(state: DataFrame) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current rows of the replicated tables after the whole feed."""
-    changes = accepted_changes(table(spark, sf_dir, "table_sync_entries"), table(spark, sf_dir, "table_sync_chain_tips"))
-    return live_rows(publish_state(fold_changes(changes), scratch(spark, "p5-state")))
+    entries = table(spark, sf_dir, "table_sync_entries")
+    changes = accepted_changes(entries, table(spark, sf_dir, "table_sync_chain_tips"))
+    return live_rows(publish_state(fold_changes(changes, most=entries.count()), scratch(spark, "p5-state")))
 
 
 def p5_drift(spark: SparkSession, sf_dir: str) -> DataFrame:

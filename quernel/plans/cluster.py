@@ -26,10 +26,13 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder made and set.
+    Only with a local master (tests, a laptop) is a temporary folder made and set where the setting is absent.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quernel-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     jsc = spark.sparkContext._jsc.sc()

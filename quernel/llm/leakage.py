@@ -3,10 +3,11 @@
 Both sides are cut into windows of ``words`` consecutive words. A seeded CGK random walk maps a
 window to a string whose Hamming distance tracks the windows' edit distance: at step j the walk writes
 the word it stands on and moves on by one with a random bit of (j, word), so that walks of similar
-windows meet again after an edit. Repeated bit sampling (``TABLES`` samples of ``SAMPLED`` steps) makes the
+windows meet again after an edit. Repeated bit sampling (samples of ``SAMPLED`` steps) makes the
 keys of a locality-sensitive index of the item windows; a document window that shares a key with an
-item window is a candidate. Equal windows share all keys, so a verbatim passage is never lost; windows
-with an edit share a key with the probability that ``TABLES`` and ``SAMPLED`` set. Candidates are then
+item window is a candidate. Equal windows share all keys, so a verbatim passage is never lost; of passages
+of the size of an item with edits as many are met as ``RECALL`` asks: the number of samples follows from it
+(``tables_for``). Windows have the size that a passage must share, since that may be shorter than the item. Candidates are then
 verified on words: the longest common run around the hit, and the edit distance of the passage.
 
 Documents never shuffle: their rows stream past the index of one block of items (``BLOCK_WORDS`` bounds
@@ -16,22 +17,27 @@ what is sent to the workers; more items mean more blocks, each against all docum
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.plans.cluster import spill_table
 from quernel.sources.tables import table
 
 #: Words that a passage must share with an item.
 WORDS = 12
-#: Steps of the random walk for each word of a window, keys and steps sampled for a key.
-WALK, TABLES, SAMPLED = 3, 4, 6
-#: Words of item text in one block that is sent to all workers (about 10 bytes each in the index).
-BLOCK_WORDS = 2_000_000
+#: Steps of the random walk for each word of a window, steps sampled for a key, most keys of a window.
+WALK, SAMPLED, MOST_TABLES = 3, 6, 24
+#: Share of the edited passages that must be met: passages of so many words with so many words changed, dropped or put in.
+RECALL, PASSAGE, PASSAGE_EDITS = 0.99, 20, 3
+#: Words of item text in one block that is sent to all workers (about 150 bytes each in a worker's index).
+BLOCK_WORDS = 500_000
 #: Document words that one pass of the vectorised walk holds.
 PASS_WORDS = 400_000
 SEED = 20_240_117
@@ -59,32 +65,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def cgk_keys(ids: np.ndarray, starts: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """LSH keys (windows x TABLES) of the windows of ``words`` ids that begin at ``starts``.
+def cgk_keys(ids: np.ndarray, starts: np.ndarray, words: int = WORDS, tables: int = 4) -> np.ndarray:
+    """LSH keys (windows x tables) of the windows of ``words`` ids that begin at ``starts``.
 
     A walk that runs off its window writes a pad. Walk bits and sampled steps come from ``SEED``.
     """
     rng = np.random.default_rng(SEED)
     steps = WALK * words
-    sampled = [set(rng.choice(steps, SAMPLED, replace=False).tolist()) for _ in range(TABLES)]
     salts = rng.integers(1, 2**63, steps, dtype=np.uint64) | np.uint64(1)
-    at, keys = np.zeros(len(starts), np.int64), np.zeros((TABLES, len(starts)), np.uint64)
+    sampled = [set(rng.choice(steps, SAMPLED, replace=False).tolist()) for _ in range(tables)]
+    at, keys = np.zeros(len(starts), np.int64), np.zeros((tables, len(starts)), np.uint64)
     last = max(set().union(*sampled))
     for j in range(last + 1):
         inside = at < words
         symbol = np.where(inside, ids[np.minimum(starts + at, len(ids) - 1)], np.uint64(7))
-        for t in range(TABLES):
+        for t in range(tables):
             if j in sampled[t]:
                 keys[t] = _mix(keys[t] ^ (symbol + salts[j]))
         at += ((symbol * salts[j]) >> np.uint64(63)).astype(np.int64)
     return keys.T
 
 
+@cache
+def tables_for(recall: float, words: int = WORDS) -> int:
+    """The fewest keys a window needs so that edited passages are met as often as ``recall`` asks, by a seeded simulation.
+
+    A passage of ``PASSAGE`` words (``words`` at least) with ``PASSAGE_EDITS`` random edits is met where any of its windows shares a key with
+    any window of the original. ``MOST_TABLES`` where that does not suffice.
+    """
+    rng = np.random.default_rng(SEED + 1)
+    size, first = max(PASSAGE, words), []
+    for _ in range(400):
+        own = rng.integers(1, 2**62, size).tolist()
+        other = list(own)
+        for _ in range(PASSAGE_EDITS):
+            at, kind = int(rng.integers(0, len(other))), int(rng.integers(0, 3))  # change, drop, put in
+            other[at : at + (kind < 2)] = rng.integers(1, 2**62, int(kind != 1)).tolist()
+        n, m = size - words + 1, max(len(other) - words + 1, 0)
+        keys = cgk_keys(np.array(own + other, np.uint64), np.concatenate([np.arange(n), size + np.arange(m)]), words, MOST_TABLES)
+        met = [len(np.intersect1d(keys[:n, t], keys[n:, t])) > 0 for t in range(MOST_TABLES)]
+        first.append(met.index(True) + 1 if any(met) else MOST_TABLES + 1)
+    return next((t for t in range(1, MOST_TABLES) if np.mean(np.array(first) <= t) >= recall), MOST_TABLES)
+
+
 class ItemIndex:
     """Sorted keys of one block of items, with the item and word offset of each."""
 
-    def __init__(self, items: list[tuple[int, str]], words: int):
+    def __init__(self, items: list[tuple[int, str]], words: int, tables: int):
         known: dict[bytes, int] = {}
+        self.n_tables = tables
         self.words, self.items, ids, starts, owner, offset, base = words, [], [], [], [], [], 0
         for item, text in items:
             w = words_of(text)
@@ -97,9 +126,9 @@ class ItemIndex:
             base += len(w)
         empty = [np.zeros(0, np.int64)]
         starts_, owner_, offset_ = (np.concatenate(x or empty) for x in (starts, owner, offset))
-        keys = cgk_keys(np.concatenate(ids), starts_, words) if len(starts_) else np.zeros((0, TABLES), np.uint64)
+        keys = cgk_keys(np.concatenate(ids), starts_, words, tables) if len(starts_) else np.zeros((0, tables), np.uint64)
         self.tables = []
-        for t in range(TABLES):
+        for t in range(tables):
             order = np.argsort(keys[:, t], kind="stable")
             self.tables.append((keys[order, t], owner_[order], offset_[order]))
         self.filter = np.zeros(1 << 22, bool)
@@ -108,7 +137,7 @@ class ItemIndex:
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window index, item index, item word offset) that share a key in some table, each once."""
-        keys, seen = cgk_keys(ids, starts, self.words), []
+        keys, seen = cgk_keys(ids, starts, self.words, self.n_tables), []
         for t, (sorted_keys, owner, offset) in enumerate(self.tables):
             maybe = np.flatnonzero(self.filter[(keys[:, t] >> np.uint64(42)).astype(np.int64)])
             low = np.searchsorted(sorted_keys, keys[maybe, t], "left")
@@ -149,7 +178,7 @@ def edit_distance(a: list[bytes], b: list[bytes], most: int) -> int:
 HITS = "doc_id bigint, item_id bigint, shared_words int, window_edits int, n_windows bigint"
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int = 2) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int = 2, recall: float = RECALL) -> DataFrame:
     """Documents that hold a passage of an item: one row per (doc_id, item_id).
 
     shared_words is the longest run of consecutive words the candidates showed, window_edits the least
@@ -162,20 +191,36 @@ def leaked_passages(documents: DataFrame, items: DataFrame, words: int = WORDS,
     items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // BLOCK_WORDS))
-    out = None
+    tables, out = tables_for(recall, words), None
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
-        found = documents.mapInPandas(_scan(index, words, edits), HITS)
+        index = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in own.toLocalIterator()]))
+        found = documents.mapInPandas(_scan(index, words, edits, tables), HITS)
+        if blocks > 1:  # one block at a time is held by the driver and the workers
+            found = spill_table(found, "leaks")
+            index.destroy()
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(
         F.max("shared_words").alias("shared_words"), F.min("window_edits").alias("window_edits"), F.sum("n_windows").alias("n_windows")
     )
 
 
-def _scan(index, words: int, edits: int):
+#: The index of the block that this worker process used last.
+_LAST: dict[tuple, ItemIndex] = {}
+
+
+def _index(sent, words: int, tables: int) -> ItemIndex:
+    name, items = sent.value
+    key = (name, words, tables)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = ItemIndex(items, words, tables)
+    return _LAST[key]
+
+
+def _scan(sent, words: int, edits: int, tables: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        item_index, known = ItemIndex(index.value, words), {}
+        item_index, known = _index(sent, words, tables), {}
         for batch in batches:
             held: list[tuple[int, list[bytes]]] = []
             size = 0

@@ -12,6 +12,7 @@ that a third of all items has is spread over shards.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,37 +30,39 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items of one length in one shard, on average.
 SHARD_ROWS = 50_000
-#: Characters that are encoded at once; longer texts are cut at blanks first, which splits no token of the pattern.
+#: Characters that are encoded at once; a longer text is cut at the next place after so many where the pattern always ends a match.
 ENCODE_CHARS = 100_000
+_ENDS = re.compile(r"[!-~](?=[ \n])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[A-Za-z0-9](?=[!-/:-@\[-`{-~])")
 
 
 @cache
-def encoder(path: str):
+def encoder(vocabulary: bytes):
+    """The encoder of a vocabulary file's content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("measured", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    code, n, at = encoder(path), 0, 0
+def count_tokens(text: str, vocabulary: bytes) -> int:
+    """Tokens of a text, as the encoder counts them for the whole text."""
+    code, n, at = encoder(vocabulary), 0, 0
     while len(text) - at > ENCODE_CHARS:
-        cut = text.rfind("\n", at + ENCODE_CHARS // 2, at + ENCODE_CHARS)
-        while 0 < cut and text[cut - 1].isspace():
-            cut -= 1
-        cut = cut if cut > at else at + ENCODE_CHARS
+        end = _ENDS.search(text, at + ENCODE_CHARS)
+        cut = end.end() if end else len(text)
         n += len(code.encode_ordinary(text[at:cut]))
         at = cut
     return n + len(code.encode_ordinary(text[at:]))
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row; null for a null text."""
+    """(doc_id, n_tokens) of every row; null for a null text. The vocabulary (a path of the driver) is sent to the workers."""
+    with open(vocabulary, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": pd.array([None if t is None else count_tokens(t, vocabulary) for t in b.text], "Int64")})
+            yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": pd.array([None if t is None else count_tokens(t, sent.value) for t in b.text], "Int64")})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens bigint")
 

@@ -72,6 +72,22 @@ def test_leaks_equal_brute_force_and_edits_are_met(spark):
     assert leakage.leaked_passages(df.limit(0), it).count() == leakage.leaked_passages(df, it.limit(0)).count() == 0
 
 
+def test_blocks_of_items_lose_nothing(spark, monkeypatch):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(300)]
+    items = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(40)], "item_id bigint, text string")
+    texts = [r.text for r in items.collect()]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(50)) + " " + t[3:]) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    want = sorted(map(tuple, leakage.leaked_passages(docs, items).collect()))
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 200)
+    assert sorted(map(tuple, leakage.leaked_passages(docs, items).collect())) == want and len(want) >= 40
+
+
+def test_tables_follow_the_recall():
+    few, many = leakage.tables_for(0.9), leakage.tables_for(0.999)
+    assert 1 <= few <= leakage.tables_for(leakage.RECALL) <= many <= leakage.MOST_TABLES
+
+
 def test_edited_windows_meet_often(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(2_000)]
@@ -381,6 +397,11 @@ def test_packing_is_whole_and_tight(spark):
 
 def test_token_counts_of_long_texts(spark):
     text = "Some words of text, and a number 12345.\n" * 6_000
-    assert packing.count_tokens(text) == 6_000 * packing.count_tokens(text[:40])
+    with open(packing.VOCABULARY, "rb") as f:
+        vocabulary = f.read()
+    code = packing.encoder(vocabulary)
+    rng = random.Random(9)
+    for long in (text, "word " * 60_000, "ab1" * 80_000, "it's " * 50_000, "x'll" * 60_000, "".join(rng.choice("ab 1.,'s\u00e9\u6587") for _ in range(260_000)), "\u6587" * 150_000, " " * 250_000, "a" * 99_999 + " b" * 9):
+        assert packing.count_tokens(long, vocabulary) == len(code.encode_ordinary(long))
     got = {r.doc_id: r.n_tokens for r in packing.token_counts(spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id bigint, text string")).collect()}
     assert got == {1: None, 2: 0, 3: 2}

@@ -32,10 +32,11 @@ from quernel.sources.tables import table
 
 #: Words that a passage must share with an item.
 WORDS = 12
-#: Steps of the random walk for each word of a window, steps sampled for a key, most keys of a window.
-WALK, SAMPLED, MOST_TABLES = 3, 6, 24
+#: Steps of the random walk for each word of a window (a step moves on by half a word on average, so that later steps would only
+#: write pads), steps sampled for a key, most keys of a window.
+WALK, SAMPLED, MOST_TABLES = 2, 6, 24
 #: Share of the edited passages that must be met: passages of so many words with so many words changed, dropped or put in.
-RECALL, PASSAGE, PASSAGE_EDITS = 0.99, 20, 3
+RECALL, PASSAGE, PASSAGE_EDITS = 0.95, 20, 3
 #: Words of item text in one block that is sent to all workers (about 150 bytes each in a worker's index).
 BLOCK_WORDS = 500_000
 #: Document words that one pass of the vectorised walk holds.

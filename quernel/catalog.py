@@ -8,6 +8,7 @@ MODULES = (
     "quernel.operators.changefeed",
     "quernel.operators.history",
     "quernel.operators.graph",
+    "quernel.operators.resolution",
     "quernel.operators.search",
     "quernel.operators.clones",
     "quernel.operators.index",

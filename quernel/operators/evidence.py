@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernel.functions.exprs import ascii_lower
 from quernel.operators.changefeed import KEY
 from quernel.operators.search import dot
+from quernel.plans.ranks import ranged
 from quernel.sources.projections import SQL_EDGES, edges
 from quernel.sources.tables import table
 
@@ -26,12 +27,20 @@ def verdict_counts(rows: DataFrame) -> DataFrame:
 def nearest_rank(rows: DataFrame, value: str, share: float, keys: list[str]) -> DataFrame:
     """(keys, value): the value at index ceil((n - 1) * share) of the sorted values; nulls don't count.
 
-    Ranks by window, so a group need not fit in one array.
+    Values are counted first and ranged by key and value, so neither a group nor a frequent value meets in one task.
     """
-    some = rows.where(F.col(value).isNotNull()).select(*keys, value)
-    w = Window.partitionBy(*keys)
-    placed = some.withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return placed.where(F.col("_k") == F.ceil((F.col("_n") - 1) * share)).select(*keys, value)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    parts = ranged(counts, *keys, value)
+    own = parts.groupBy("_p", *keys).agg(F.sum("_n").alias("_own"))
+    group = Window.partitionBy(*keys)
+    before = own.withColumn("_before", F.coalesce(F.sum("_own").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_own").over(group))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    placed = parts.alias("x").join(before.drop("_own").alias("y"), (F.col("x._p") == F.col("y._p")) & same).select("x.*", "_before", "_all")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_p", *keys).orderBy(value))
+    index = F.ceil((F.col("_all") - 1) * share)
+    return placed.withColumn("_upto", upto).where((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)).select(*keys, value)
 
 
 def recall_at(ranking: DataFrame, gold: DataFrame, k: int) -> DataFrame:

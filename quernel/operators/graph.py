@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.exprs import RANK_CONFIDENCE, RANK_KIND, lookup, round4
 from quernel.plans.cluster import cut, spill_table
+from quernel.plans.ranks import global_rank
 from quernel.sources.projections import SQL_EDGES, SQL_SYMBOLS, edges, symbols
 
 
@@ -50,12 +51,12 @@ def ranked_edges(edge_table: DataFrame, verdicts: DataFrame | None = None) -> Da
     return weighted.groupBy("src", "dst").agg((F.sum("w") / 1000).alias("weight"))
 
 
-def pagerank(edge_table: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, personal: DataFrame | None = None, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(edge_table: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6, personal: DataFrame | None = None) -> DataFrame:
     """(node, rank) of weighted edges (src, dst, weight); ranks add up to 1.
 
     The mass of nodes without out-weight goes to the teleport distribution: uniform, or ``personal`` (node,
     weight) scaled to 1 where any weight is positive. Stops when the ranks move less than ``tolerance`` in
-    total. The edges are partitioned by source once; each round shuffles one row per node and target.
+    total. Each round is written once, so a plan holds one round; it shuffles one row per node and target.
     """
     links = edge_table.where("weight > 0")
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -74,7 +75,7 @@ def pagerank(edge_table: DataFrame, damping: float = 0.85, most: int = 100, tole
     share = F.col("weight") / F.lit(float(sums["s"])) if sums and sums["s"] else F.lit(1.0 / n)
     nodes = spill_table(nodes.select("node", F.coalesce("sends", F.lit(False)).alias("sends"), share.alias("teleport")), "pagerank-nodes")
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for step in range(1, most + 1):
+    for _ in range(most):
         lost = ranks.where(~F.col("sends")).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
         fresh = (
@@ -83,9 +84,6 @@ def pagerank(edge_table: DataFrame, damping: float = 0.85, most: int = 100, tole
             .join(F.broadcast(lost))
             .select("node", "sends", "teleport", "old", ((1 - damping) * F.col("teleport") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") * F.col("teleport"))).alias("rank"))
         )
-        if step % checkpoint_every and step < most:
-            ranks = fresh.drop("old")
-            continue
         fresh = cut(fresh)
         moved = fresh.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).first()["moved"]
         ranks = fresh.drop("old")
@@ -102,11 +100,17 @@ def fan_counts(edge_table: DataFrame, symbol_table: DataFrame) -> DataFrame:
     return into.join(out, "file_id", "full_outer").select("file_id", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
+#: Weighted fan-in from which a symbol is in a bucket, ``low`` below (fixed values).
+LOAD_BUCKETS = {"medium": 2.0, "high": 5.0, "critical": 12.0}
+
+
 def weighted_fan_in(edge_table: DataFrame) -> DataFrame:
-    """(symbol_id, score, bucket): added weight of the edges into a symbol, in buckets from 2, 5 and 12."""
+    """(symbol_id, score, bucket): added weight of the edges into a symbol; medium from 2, high from 5, critical from 12."""
     score = ranked_edges(edge_table).groupBy(F.col("dst").alias("symbol_id")).agg(F.sum(F.round(F.col("weight") * 1000).cast("bigint")).alias("w"))
     score = score.withColumn("score", round4(F.col("w") / 1000))
-    bucket = F.when(F.col("score") >= 12, "high").when(F.col("score") >= 5, "medium").when(F.col("score") >= 2, "low").otherwise("minimal")
+    bucket = F.lit("low")
+    for name, floor in LOAD_BUCKETS.items():
+        bucket = F.when(F.col("score") >= floor, name).otherwise(bucket)
     return score.select("symbol_id", "score", bucket.alias("bucket"))
 
 
@@ -124,8 +128,7 @@ def one_hop(edge_table: DataFrame, symbol_table: DataFrame, node: int, callers:
     if kinds:
         own = own.where(F.col("kind").isin(kinds))
     hops = own.groupBy(F.col(far).alias("symbol_id"), "kind", "confidence").agg(F.count(F.lit(1)).alias("n_edges")).join(symbol_table.select("symbol_id", "name"), "symbol_id")
-    place = Window.orderBy(lookup(F.col("confidence"), CONFIDENCE_RANK, 4.0), "kind", "name", "symbol_id")
-    return hops.withColumn("rank", F.row_number().over(place))
+    return global_rank(hops, lookup(F.col("confidence"), CONFIDENCE_RANK, 4.0), "kind", "name", "symbol_id", "confidence")
 
 
 def traversal_summary(edge_table: DataFrame) -> DataFrame:
@@ -166,7 +169,7 @@ def impact_surface(edge_table: DataFrame, symbol_table: DataFrame, node: int) ->
     exact = symbol_table.where(F.col("symbol_id") == node)
     every = lane(exact, 0, "0exact").unionByName(lane(hop(True, calls), 1, "1caller")).unionByName(lane(hop(False, calls), 2, "2callee")).unionByName(lane(hop(True, ["imports"]), 3, "3import")).unionByName(lane(mates, 4, "4sibling"))
     joined = every.groupBy("symbol_id").agg(F.min("k").alias("k"), F.array_join(F.sort_array(F.collect_set("lane")), ",").alias("evidence"), F.countDistinct("lane").alias("n"))
-    return joined.withColumn("rank", F.row_number().over(Window.orderBy("k", F.desc("n"), "symbol_id"))).select("symbol_id", "evidence", "rank")
+    return global_rank(joined, "k", F.desc("n"), "symbol_id").select("symbol_id", "evidence", "rank")
 
 
 def _two(spark, sf_dir):
@@ -219,7 +222,7 @@ b AS (SELECT DISTINCT least(src, dst) AS a FROM x) SELECT node, min(component) A
     "fan_counts": f"""{_E}, i AS (SELECT file_id, count(*) AS fan_in FROM e JOIN s ON dst = symbol_id GROUP BY file_id), o AS (SELECT file_id, count(*) AS fan_out FROM e JOIN s ON src = symbol_id GROUP BY file_id)
 SELECT file_id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM i FULL JOIN o USING (file_id)""",
     "weighted_fan_in": f"""{_E}{_W}, f AS (SELECT dst AS symbol_id, floor(CAST(sum(CAST(round(weight * 1000) AS BIGINT)) AS DOUBLE) / 1000 * 10000 + 0.5) / 10000 AS score FROM w GROUP BY dst)
-SELECT symbol_id, score, CASE WHEN score >= 12 THEN 'high' WHEN score >= 5 THEN 'medium' WHEN score >= 2 THEN 'low' ELSE 'minimal' END AS bucket FROM f""",
+SELECT symbol_id, score, CASE WHEN score >= 12 THEN 'critical' WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS bucket FROM f""",
     "find_callers": _E + _HOP.format(far="src", near="dst", more=""),
     "trace_callees": _E + _HOP.format(far="dst", near="src", more="AND kind IN ('calls_name', 'imports')"),
     "traversal_summary": f"""{_E}, t AS (SELECT dst AS symbol_id, count(*) AS total, CAST(sum(CASE WHEN confidence = 'Exact' THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN confidence = 'NameOnly' THEN 1 ELSE 0 END) AS BIGINT) AS name_only,

@@ -11,6 +11,7 @@ from quernel.operators.history import BRIEF_WEIGHTS, churn, co_touch, file_brief
 from quernel.operators.index import latest
 from quernel.operators.search import bm25
 from quernel.plans.cluster import spill_table
+from quernel.plans.ranks import global_rank
 from quernel.sources.projections import SQL_CHANGES, SQL_COMMITS, SQL_EDGES, SQL_SYMBOLS, commits, edges, file_changes, symbols
 from quernel.sources.tables import table
 
@@ -95,7 +96,7 @@ def blame_rollup(lines: DataFrame) -> DataFrame:
 def library_usage(calls: DataFrame, sites: int = 25) -> DataFrame:
     """(moniker, call_count, shown, rank) of (moniker, site): all calls count; ``shown`` is how many a report of ``sites`` lists."""
     out = calls.groupBy("moniker").agg(F.count(F.lit(1)).alias("call_count"))
-    return out.select("moniker", "call_count", F.least("call_count", F.lit(sites)).alias("shown"), F.row_number().over(Window.orderBy(F.desc("call_count"), "moniker")).alias("rank"))
+    return global_rank(out, F.desc("call_count"), "moniker").select("moniker", "call_count", F.least("call_count", F.lit(sites)).alias("shown"), "rank")
 
 
 def closing_edges(claims: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def closing_edges(claims: DataFrame) -> DataFrame:
 
 def commits_touching(messages: DataFrame, changes: DataFrame, query: str, paths: list[int], limit: int = 20) -> DataFrame:
     """(hash, score) of commits whose message or paths match; lower is better: the place in the message search, a quarter less a path."""
-    ranked = bm25(messages, query).where(F.col("rank") <= limit).select(F.col("doc_id").alias("hash"), (F.col("rank") - 1).alias("place"))
+    ranked = bm25(messages, query, limit).select(F.col("doc_id").alias("hash"), (F.col("rank") - 1).alias("place"))
     hits = changes.where(F.col("path").isin(paths)).groupBy("hash").agg(F.countDistinct("path").alias("n"))
     both = ranked.join(hits, "hash", "full_outer")
     return both.select("hash", (F.coalesce("place", F.lit(limit)) - 0.25 * F.coalesce("n", F.lit(0))).alias("score"))

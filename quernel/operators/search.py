@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions.exprs import ascii_lower, capped, query_terms, rank_score, round4, terms
+from quernel.plans.ranks import global_rank, top_ranked
 from quernel.sources.tables import table
 
 #: Parameters of BM25, and the weights of the two lanes of the fused score (fixed values; the other lanes are open, see README).
@@ -28,8 +29,8 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(documents: DataFrame, query: str) -> DataFrame:
-    """(doc_id, score, rank) of every document that holds a term of ``query`` (Okapi, any term).
+def bm25(documents: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """(doc_id, score, rank) of every document that holds a term of ``query`` (Okapi, any term), or of the best ``limit``.
 
     Terms are matched unstemmed; idf is floored at 1e-6. Lengths count all terms; only the terms of the query
     are exploded, so a pass moves one small row per match. A query without terms matches nothing.
@@ -43,7 +44,8 @@ def bm25(documents: DataFrame, query: str) -> DataFrame:
     idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5) + 1), F.lit(1e-6))
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = matches.join(F.broadcast(frequency), "term").join(F.broadcast(stats)).select("doc_id", part.alias("part")).groupBy("doc_id").agg(round4(F.sum("part")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    order = F.desc("score"), "doc_id"
+    return global_rank(scored, *order) if limit is None else top_ranked(scored, limit, *order)
 
 
 def dot(left, right):
@@ -84,13 +86,12 @@ def hybrid_search(documents: DataFrame, vectors: DataFrame, query: str, embeddin
     ``vectors``: doc_id, embedding. Columns: doc_id, bm25, vector, score, mode, rank.
     """
     fetch = OVERFETCH * max(limit, LEAST_FETCH)
-    lexical = bm25(documents, query).where(F.col("rank") <= fetch)
+    lexical = bm25(documents, query, fetch)
     if embedding is None:
         near = documents.sparkSession.createDataFrame([], "doc_id bigint, similarity double")
     else:
         near = top(vector_scores(vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), embedding), "similarity", "vec_id", fetch).withColumnRenamed("vec_id", "doc_id")
-    best = fuse(lexical, near).orderBy(F.desc("score"), "doc_id").limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    return top_ranked(fuse(lexical, near), limit, F.desc("score"), "doc_id")
 
 
 def snippets(documents: DataFrame, query: str) -> DataFrame:
@@ -174,7 +175,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = (select 0)").first()["embedding"]]
+    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ MODULES = (
     "quernel.operators.graph",
     "quernel.operators.resolution",
     "quernel.operators.search",
+    "quernel.operators.fusion",
     "quernel.operators.clones",
     "quernel.operators.index",
     "quernel.operators.evidence",
+    "quernel.operators.verdicts",
     "quernel.operators.notes",
     "quernel.operators.derived",
     "quernel.streaming.feeds",

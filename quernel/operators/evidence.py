@@ -9,7 +9,6 @@ from quernel.functions.exprs import ascii_lower
 from quernel.operators.changefeed import KEY
 from quernel.operators.search import dot
 from quernel.plans.ranks import ranged
-from quernel.sources.projections import SQL_EDGES, edges
 from quernel.sources.tables import table
 
 
@@ -18,12 +17,6 @@ def ratio(part, whole):
     return F.when(whole == 0, F.lit(1.0)).otherwise(part / whole)
 
 
-def verdict_counts(rows: DataFrame) -> DataFrame:
-    """Per kind of (kind, confidence): edges, exact ones and precision (exact of all, 1 of none)."""
-    out = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("confidence") == "Exact").cast("bigint")).alias("n_exact"))
-    return out.withColumn("precision", F.round(ratio(F.col("n_exact"), F.col("n")), 6))
-
-
 def nearest_rank(rows: DataFrame, value: str, share: float, keys: list[str]) -> DataFrame:
     """(keys, value): the value at index ceil((n - 1) * share) of the sorted values; nulls don't count.
 
@@ -179,7 +172,6 @@ def _findings(s, d):
 
 
 QUERIES = {
-    "verdict_counts": lambda s, d: verdict_counts(edges(s, d)),
     "percentiles": lambda s, d: nearest_rank(table(s, d, "events"), "value", 0.95, ["event_type"]),
     "recall_at_10": lambda s, d: recall_at(*_ranking(s, d), 10),
     "reciprocal_rank": lambda s, d: reciprocal_rank(*_ranking(s, d)),
@@ -212,7 +204,6 @@ SELECT * FROM b WHERE op IS NOT NULL"""
 
 
 SQL = {
-    "verdict_counts": f"WITH e AS ({SQL_EDGES}), c AS (SELECT kind, count(*) AS n, count(*) FILTER (confidence = 'Exact') AS n_exact FROM e GROUP BY kind) SELECT *, round(n_exact / CAST(n AS DOUBLE), 6) AS precision FROM c",
     "percentiles": "WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value FROM p WHERE k = ceil((n - 1) * CAST(0.95 AS DOUBLE))",
     "recall_at_10": f"{_RANK} SELECT query_id, round(count(*) FILTER (rank <= 10) / CAST(count(*) AS DOUBLE), 6) AS recall FROM r WHERE good GROUP BY query_id",
     "reciprocal_rank": f"{_RANK} SELECT query_id, round(coalesce(1 / CAST(min(CASE WHEN good AND rank <= 10 THEN rank END) AS DOUBLE), 0), 6) AS rr FROM r GROUP BY query_id",

@@ -15,6 +15,8 @@ MODULES = (
     "quernel.operators.index",
     "quernel.operators.evidence",
     "quernel.operators.verdicts",
+    "quernel.operators.papertrail",
+    "quernel.operators.memory",
     "quernel.operators.notes",
     "quernel.operators.derived",
     "quernel.streaming.feeds",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.functions.exprs import ascii_lower
 from quernel.operators.changefeed import KEY
 from quernel.operators.search import dot
 from quernel.plans.ranks import ranged
@@ -54,29 +53,6 @@ def code_identifiers(documents: DataFrame) -> DataFrame:
     return documents.where("text is not null").select("doc_id", found.alias("identifier"))
 
 
-#: Keyword classes of a thread's text, first match wins (fixed values).
-TEXT_CLASSES = (("performance", ("fast", "slow")), ("removal", ("gone", "remove")), ("question", ("?",)), ("proposal", ("i think", "we could")), ("process", ("please", "let us")))
-
-
-def classify_text(documents: DataFrame) -> DataFrame:
-    """(doc_id, label): first keyword class in the lower-cased text, ``other`` without one, null for a null text."""
-    low = ascii_lower(F.col("text"))
-    label = F.when(F.col("text").isNull(), F.lit(None))
-    for name, words in TEXT_CLASSES:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
-        label = label.when(hit, name)
-    return documents.select("doc_id", label.otherwise("other").alias("label"))
-
-
-def thread_shapes(comments: DataFrame) -> DataFrame:
-    """(thread, n, n_kinds, shape) of (thread, kind): thin below 3 rows, review_stream if over half are reviews, else investigation."""
-    out = comments.groupBy("thread").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kind").alias("n_kinds"), F.sum((F.col("kind") == "review").cast("bigint")).alias("r"))
-    shape = F.when(F.col("n") < 3, "thin").when(F.coalesce(F.col("r"), F.lit(0)) * 2 > F.col("n"), "review_stream").otherwise("investigation")
-    return out.select("thread", "n", "n_kinds", shape.alias("shape"))
-
-
 def duplicate_notes(notes: DataFrame) -> DataFrame:
     """(content_hash, first_id, n): notes (id, text) with the same trimmed text."""
     return notes.where("trim(text) <> ''").groupBy(F.sha2(F.trim("text"), 256).alias("content_hash")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -91,8 +67,8 @@ def sync_findings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def effective_rank(findings: DataFrame, now_s: int, half_life_days: float = 14.0) -> DataFrame:
-    """(id, rank): base rank halved every 14 days."""
-    age = (F.lit(now_s) - F.col("seen_at_s")) / 86_400.0
+    """(id, rank): base rank halved every 14 days; what is seen later than now has no age."""
+    age = F.greatest(F.lit(now_s) - F.col("seen_at_s"), F.lit(0)) / 86_400.0
     return findings.select("id", F.round(F.col("base") * F.pow(F.lit(0.5), age / half_life_days), 4).alias("rank"))
 
 
@@ -176,8 +152,6 @@ QUERIES = {
     "recall_at_10": lambda s, d: recall_at(*_ranking(s, d), 10),
     "reciprocal_rank": lambda s, d: reciprocal_rank(*_ranking(s, d)),
     "code_identifiers": lambda s, d: code_identifiers(_documents(s, d)),
-    "classify_text": lambda s, d: classify_text(_documents(s, d)),
-    "thread_shapes": lambda s, d: thread_shapes(_documents(s, d).where("repo_id is not null").select(F.concat_ws("/", "repo_id", "source").alias("thread"), F.col("doc_kind").alias("kind"))),
     "duplicate_notes": lambda s, d: duplicate_notes(_documents(s, d).select(F.col("doc_id").alias("id"), "text")),
     "sync_findings": lambda s, d: sync_findings(*_halves(s, d)),
     "effective_rank": lambda s, d: effective_rank(_findings(s, d), 1_735_689_600),
@@ -191,7 +165,6 @@ QUERIES = {
 }
 _RANK = """WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS want FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS item, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS s, label = want AS good FROM embeddings JOIN q ON vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rank FROM x)"""
-_KEYWORDS = " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in TEXT_CLASSES)
 
 
 def _row_ops_sql() -> str:
@@ -208,12 +181,10 @@ SQL = {
     "recall_at_10": f"{_RANK} SELECT query_id, round(count(*) FILTER (rank <= 10) / CAST(count(*) AS DOUBLE), 6) AS recall FROM r WHERE good GROUP BY query_id",
     "reciprocal_rank": f"{_RANK} SELECT query_id, round(coalesce(1 / CAST(min(CASE WHEN good AND rank <= 10 THEN rank END) AS DOUBLE), 0), 6) AS rr FROM r GROUP BY query_id",
     "code_identifiers": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '`([A-Za-z_][A-Za-z0-9_]*)`', 1)) AS identifier FROM documents WHERE text IS NOT NULL",
-    "classify_text": f"WITH t AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) SELECT doc_id, CASE WHEN t IS NULL THEN NULL {_KEYWORDS} ELSE 'other' END AS label FROM t",
-    "thread_shapes": "WITH t AS (SELECT concat_ws('/', repo_id, source) AS thread, count(*) AS n, count(DISTINCT doc_kind) AS n_kinds, count(*) FILTER (doc_kind = 'review') AS r FROM documents WHERE repo_id IS NOT NULL GROUP BY 1) SELECT thread, n, n_kinds, CASE WHEN n < 3 THEN 'thin' WHEN r * 2 > n THEN 'review_stream' ELSE 'investigation' END AS shape FROM t",
     "duplicate_notes": "SELECT sha256(trim(text, ' ')) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE trim(text, ' ') <> '' GROUP BY 1 HAVING count(*) > 1",
     "sync_findings": """WITH h AS (SELECT event_type AS kind, user_id AS subject, event_id % 2 AS half, max(floor(value)) AS claim FROM events GROUP BY ALL), a AS (SELECT * FROM h WHERE half = 0), b AS (SELECT * FROM h WHERE half = 1)
 SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.subject, b.subject) AS subject, CASE WHEN a.kind IS NULL THEN 'open' WHEN b.kind IS NULL THEN 'resolve' WHEN a.claim IS NOT DISTINCT FROM b.claim THEN 'refresh' ELSE 'supersede' END AS action FROM a FULL JOIN b ON a.kind = b.kind AND a.subject = b.subject""",
-    "effective_rank": "SELECT event_id AS id, round(value * pow(CAST(0.5 AS DOUBLE), (1735689600 - CAST(floor(epoch(ts)) AS BIGINT)) / CAST(86400 AS DOUBLE) / 14), 4) AS rank FROM events",
+    "effective_rank": "SELECT event_id AS id, round(value * pow(CAST(0.5 AS DOUBLE), greatest(1735689600 - CAST(floor(epoch(ts)) AS BIGINT), 0) / CAST(86400 AS DOUBLE) / 14), 4) AS rank FROM events",
     "row_ops": _row_ops_sql(),
     "chain_forks": "SELECT stream_id, device_fingerprint, lamport, count(DISTINCT entry_hash) AS n FROM table_sync_entries GROUP BY ALL HAVING count(DISTINCT entry_hash) > 1",
     "pending_entries": "WITH t AS (SELECT stream_id, device_fingerprint, max(lamport) AS tip FROM table_sync_chain_tips GROUP BY ALL), e AS (SELECT DISTINCT entry_hash, stream_id, device_fingerprint, lamport FROM table_sync_entries) SELECT entry_hash, e.stream_id, e.lamport FROM e LEFT JOIN t USING (stream_id, device_fingerprint) WHERE tip IS NULL OR e.lamport > tip",

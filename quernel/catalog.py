@@ -18,6 +18,7 @@ MODULES = (
     "quernel.operators.papertrail",
     "quernel.operators.memory",
     "quernel.operators.notes",
+    "quernel.operators.briefs",
     "quernel.operators.derived",
     "quernel.streaming.feeds",
 )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,19 +53,47 @@ def rank_score(rank) -> Column:
     return 1.0 / F.sqrt(rank.cast("double"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def is_test_path(path) -> Column:
-    """Path classes that hold tests."""
-    low = ascii_lower(path)
-    return low.rlike(r"(^|/)(tests?|spec|specs|__tests__|testing|fixtures?)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$")
+    """Whether a path is a test's: a part named like a test directory (any case), or a file named like a test."""
+    file = F.element_at(F.split(path, "/"), -1)
+    low, stem = ascii_lower(file), F.element_at(F.split(file, r"\."), 1)
+    part = ascii_lower(path).rlike(r"(^|/)(tests|test|__tests__|__test__|__mocks__|spec|specs)(/|$)")
+    named = stem.isin("test", "tests") | stem.rlike(r"^test_|_tests?$|Tests?$|TestCase$")
+    return part | (file == "conftest.py") | low.contains(".test.") | low.contains(".spec.") | named
 
 
 def is_generated_path(path) -> Column:
-    low = ascii_lower(path)
-    return low.rlike(r"(^|/)(generated|gen|dist|build|node_modules|vendor|third_party)/|[._]generated\.|\.gen\.|\.min\.|\.pb\.")
+    """Declarations (``.d.ts``) and whatever has a part named ``generated`` or ``generated-web``."""
+    return path.endswith(".d.ts") | path.rlike(r"(^|/)(generated|generated-web)(/|$)")
+
+
+def path_parts(path) -> Column:
+    """The parts of a path, empty ones left out."""
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def path_bucket(path) -> Column:
+    """The directory of a path, five parts at most; ``.`` for a file at the top."""
+    parts = path_parts(path)
+    parent = F.slice(parts, 1, F.least(F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(5)))
+    return F.when(F.size(parent) == 0, ".").otherwise(F.array_join(parent, "/"))
+
+
+def common_prefix(left, right) -> Column:
+    """How many first items two arrays share."""
+    same = F.transform(F.zip_with(left, right, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
+    first = F.array_position(same, False)
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+
+
+def path_similarity(left, right) -> Column:
+    """0.65 of the shared first parts (of the longer path) and 0.35 of the shared words of two or more letters or digits."""
+    a, b = path_parts(left), path_parts(right)
+    words = lambda p: F.array_distinct(F.filter(F.split(ascii_lower(p), "[^a-z0-9]+"), lambda x: F.length(x) > 1))
+    union = F.size(F.array_union(words(left), words(right)))
+    longest = F.greatest(F.size(a), F.size(b))
+    prefix = F.when(longest == 0, 0.0).otherwise(common_prefix(a, b) / longest)
+    return prefix * 0.65 + F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(words(left), words(right))) / union) * 0.35
 
 
 def query_terms(text: str) -> list[str]:

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.exprs import round4
-from quernel.operators.graph import connected_components, cross_file_pairs, fan_counts
-from quernel.operators.history import BRIEF_WEIGHTS, churn, co_touch, file_brief
 from quernel.operators.index import latest
 from quernel.operators.search import bm25
-from quernel.plans.cluster import spill_table
 from quernel.plans.ranks import global_rank
-from quernel.sources.projections import SQL_CHANGES, SQL_COMMITS, SQL_EDGES, SQL_SYMBOLS, commits, edges, file_changes, symbols
+from quernel.sources.projections import SQL_COMMITS, commits, file_changes
 from quernel.sources.tables import table
 
-#: Weights of the likeness of two files and the likeness from which they form a cluster (fixed values).
-PAIR_WEIGHTS = {"path": 0.43, "co_touch": 0.24, "graph": 0.22}
-CLUSTER_THETA = 0.34
-
 
 def logical_symbols(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """(logical_id, n_members, first_id): symbols grouped by (repo, language, path, symbol path, kind).
@@ -72,19 +65,6 @@ def notes_below(bindings: DataFrame) -> DataFrame:
     return bindings.select("note_id", F.explode(dirs).alias("dir")).groupBy("dir").agg(F.countDistinct("note_id").alias("n_notes"))
 
 
-def file_clusters(touched: DataFrame, linked: DataFrame, owner: DataFrame, theta: float = CLUSTER_THETA) -> DataFrame:
-    """(path, cluster, n_members): files joined by likeness: shared commits, graph links and the directory.
-
-    ``touched``: path_a, path_b, n; ``linked``: the same of graph edges; ``owner``: path, dir. Only pairs of one directory count.
-    """
-    both = touched.select("path_a", "path_b", F.col("n").alias("t")).join(linked.select("path_a", "path_b", F.col("n").alias("g")), ["path_a", "path_b"], "full_outer")
-    both = both.join(owner.toDF("path_a", "dir"), "path_a").join(owner.toDF("path_b", "other"), "path_b").where("dir = other")
-    score = PAIR_WEIGHTS["path"] * 0.5 + PAIR_WEIGHTS["co_touch"] * F.least(F.coalesce("t", F.lit(0)) / 10, F.lit(1.0)) + PAIR_WEIGHTS["graph"] * F.least(F.coalesce("g", F.lit(0)) / 10, F.lit(1.0))
-    pairs = both.where(score >= theta).select(F.col("path_a").alias("src"), F.col("path_b").alias("dst"))
-    parts = connected_components(pairs).toDF("path", "cluster")
-    return parts.withColumn("n_members", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
-
-
 def blame_rollup(lines: DataFrame) -> DataFrame:
     """(chunk_id, dominant, newest, oldest, n_lines) of (chunk_id, commit, at_s, n): dominant has the most lines (ties: greatest commit)."""
     counts = lines.groupBy("chunk_id", "commit").agg(F.sum("n").alias("n"), F.max("at_s").alias("at_s"))
@@ -112,20 +92,6 @@ def commits_touching(messages: DataFrame, changes: DataFrame, query: str, paths:
     return both.select("hash", (F.coalesce("place", F.lit(limit)) - 0.25 * F.coalesce("n", F.lit(0))).alias("score"))
 
 
-def _metrics(s: SparkSession, d: str) -> DataFrame:
-    """Measures of the supplier files: churn, fan counts of their nation as coupling, sizes from the key."""
-    own = symbols(s, d).select(F.col("symbol_id").alias("path"), "file_id")
-    c = churn(file_changes(s, d), commits(s, d))
-    fans = fan_counts(edges(s, d), symbols(s, d).select("symbol_id", F.col("symbol_id").alias("file_id"))).withColumnRenamed("file_id", "path")
-    rows = own.join(c, "path", "left").join(fans, "path", "left")
-    filled = [F.coalesce(x, F.lit(0)).alias(x) for x in ("commit_touch_count", "recent_touch_count", "additions", "deletions", "fan_in", "fan_out")]
-    return rows.select("path", *filled, (F.col("path") % 10 == 0).alias("generated"), (F.col("path") % 7 == 0).alias("is_test"), (F.col("path") * 37 % 900).alias("line_count"), (F.col("path") % 45).alias("symbol_count"))
-
-
-def _brief(mode: str):
-    return lambda s, d: file_brief(_metrics(s, d), mode)
-
-
 def _resolve(s, d):
     files = latest(table(s, d, "files"), ["id"], ["indexed_at_ms", "indexed_revision"]).select(F.col("id").alias("file_id"), "repo_id")
     chunks = table(s, d, "chunks").select("id", "file_id", "symbol_path").distinct().join(files, "file_id")
@@ -144,12 +110,6 @@ def _bindings(s, d):
     return files.select(F.col("id").alias("note_id"), "repo_id", F.when(F.col("id") % 7 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("id") % 3 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
 
 
-def _clusters(s, d):
-    own = symbols(s, d)
-    linked = cross_file_pairs(edges(s, d), own.select("symbol_id", F.col("symbol_id").alias("file_id"))).toDF("path_a", "path_b", "n")
-    return file_clusters(spill_table(co_touch(file_changes(s, d), commits(s, d)), "co-touch"), linked, own.select("symbol_id", "file_id"))
-
-
 def _blame(s, d):
     line = table(s, d, "lineitem").select(F.col("l_partkey").alias("chunk_id"), F.col("l_orderkey").alias("commit"), F.col("l_linenumber").cast("bigint").alias("n"))
     return blame_rollup(line.join(commits(s, d).select(F.col("hash").alias("commit"), F.col("authored_at_s").alias("at_s")), "commit"))
@@ -175,13 +135,11 @@ QUERIES = {
     "note_edges": lambda s, d: note_edges(_notes(s, d)),
     "validate_bindings": lambda s, d: validate_bindings(_bindings(s, d), table(s, d, "files")),
     "notes_below": lambda s, d: notes_below(_bindings(s, d)),
-    "file_clusters": _clusters,
     "blame_rollup": _blame,
     "library_usage": lambda s, d: library_usage(table(s, d, "lineitem").select(F.col("l_partkey").alias("moniker"), F.col("l_orderkey").alias("site"))),
     "closing_edges": _closing,
     "commits_touching": _touching,
     "commit_search": lambda s, d: bm25(table(s, d, "documents").where("doc_kind = 'commit'").select("doc_id", "text"), "stale shard manifest").select("doc_id", "rank", round4(1 / F.sqrt(F.col("rank").cast("double"))).alias("rank_score")),
-    **{f"brief_{mode}": _brief(mode) for mode in BRIEF_WEIGHTS},
 }
 _FILES = "WITH f AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at_ms DESC NULLS LAST, indexed_revision DESC NULLS LAST) = 1)"
 _BIND = "SELECT DISTINCT id AS note_id, repo_id, CASE WHEN id % 7 = 0 THEN 'old/' || path ELSE path END AS path, CASE WHEN id % 3 = 0 THEN '0' ELSE sha256 END AS sha256 FROM (SELECT DISTINCT id, repo_id, path, sha256 FROM files)"
@@ -192,20 +150,6 @@ bm AS (SELECT doc_id, floor(sum(greatest(ln((n - df + CAST(0.5 AS DOUBLE)) / (df
 b AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm)"""
 
 
-def _brief_sql(mode: str) -> str:
-    from quernel.operators.history import TEST_FACTOR
-
-    total = " + ".join(f"{name} * CAST({weight} AS DOUBLE)" for name, weight in BRIEF_WEIGHTS[mode].items())
-    return f"""WITH commits AS ({SQL_COMMITS}), changes AS ({SQL_CHANGES}), e AS ({SQL_EDGES}),
-ch AS (SELECT path, count(DISTINCT hash) AS c, sum(CASE WHEN authored_at_s >= (SELECT max(authored_at_s) FROM commits) - 7776000 THEN 1 ELSE 0 END) AS r, sum(additions) + sum(deletions) AS d FROM changes JOIN commits USING (hash) GROUP BY path),
-fi AS (SELECT dst AS path, count(*) AS n FROM e GROUP BY dst), fo AS (SELECT src AS path, count(*) AS n FROM e GROUP BY src),
-m AS (SELECT s_suppkey AS path, least((s_suppkey * 37 % 900) / CAST(800 AS DOUBLE), 1) AS size, least((s_suppkey % 45) / CAST(40 AS DOUBLE), 1) AS symbols, least((coalesce(fi.n, 0) + coalesce(fo.n, 0)) / CAST(50 AS DOUBLE), 1) AS coupling,
-  least(least(coalesce(c, 0) / CAST(25 AS DOUBLE), 1) * CAST(0.5 AS DOUBLE) + least(coalesce(r, 0) / CAST(8 AS DOUBLE), 1) * CAST(0.25 AS DOUBLE) + least(coalesce(d, 0) / CAST(5000 AS DOUBLE), 1) * CAST(0.25 AS DOUBLE), 1) AS churn
-  FROM supplier LEFT JOIN ch ON ch.path = s_suppkey LEFT JOIN fi ON fi.path = s_suppkey LEFT JOIN fo ON fo.path = s_suppkey),
-sc AS (SELECT path, (CAST(0 AS DOUBLE) + {total}) * CASE WHEN path % 10 = 0 THEN CAST(0.25 AS DOUBLE) ELSE 1 END * CASE WHEN path % 7 = 0 THEN CAST({TEST_FACTOR[mode]} AS DOUBLE) ELSE 1 END AS score FROM m)
-SELECT path, floor(score * 10000 + 0.5) / 10000 AS score FROM sc"""
-
-
 SQL = {
     "logical_symbols": f"""{_FILES}, r AS (SELECT DISTINCT c.id, f.repo_id, f.language, f.path, c.symbol_path, c.chunk_kind FROM chunks c JOIN f ON f.id = c.file_id WHERE c.symbol_path IS NOT NULL),
 k AS (SELECT id, CAST('0x' || substr(sha256(concat_ws(chr(31), repo_id, language, path, symbol_path, chunk_kind)), 1, 15) AS BIGINT) AS h FROM r) SELECT h >> 1 AS logical_id, count(*) AS n_members, min(id) AS first_id FROM k GROUP BY 1""",
@@ -217,17 +161,10 @@ FROM c LEFT JOIN a ON a.symbol_path = c.symbol_path AND a.file_id = c.file_id LE
     "validate_bindings": f"""WITH b AS ({_BIND}), h AS (SELECT repo_id, path, max(sha256) AS now FROM files GROUP BY ALL), e AS (SELECT DISTINCT repo_id, sha256 FROM files)
 SELECT note_id, b.path, CASE WHEN now = b.sha256 THEN 'current' WHEN e.sha256 IS NOT NULL THEN 'relocated' WHEN now IS NOT NULL THEN 'stale' ELSE 'gone' END AS status FROM b LEFT JOIN h ON h.repo_id = b.repo_id AND h.path = b.path LEFT JOIN e ON e.repo_id = b.repo_id AND e.sha256 = b.sha256""",
     "notes_below": f"WITH b AS ({_BIND}), p AS (SELECT note_id, string_split(path, '/') AS a FROM b), q AS (SELECT note_id, a, unnest(range(1, len(a) + 1)) AS k FROM p) SELECT array_to_string(a[1:k], '/') AS dir, count(DISTINCT note_id) AS n_notes FROM q GROUP BY ALL",
-    "file_clusters": f"""WITH changes AS ({SQL_CHANGES}), e AS ({SQL_EDGES}), s AS ({SQL_SYMBOLS}), z AS (SELECT hash FROM changes GROUP BY hash HAVING count(DISTINCT path) BETWEEN 2 AND 40), r AS (SELECT DISTINCT hash, path FROM changes JOIN z USING (hash)),
-t AS (SELECT a.path AS x, b.path AS y, count(*) AS t FROM r a JOIN r b ON a.hash = b.hash AND a.path < b.path GROUP BY ALL), g AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, count(*) AS g FROM e GROUP BY ALL),
-u AS (SELECT coalesce(t.x, g.x) AS x, coalesce(t.y, g.y) AS y, coalesce(t, 0) AS t, coalesce(g, 0) AS g FROM t FULL JOIN g ON t.x = g.x AND t.y = g.y),
-p AS (SELECT x, y FROM u JOIN s a ON a.symbol_id = x JOIN s b ON b.symbol_id = y WHERE a.file_id = b.file_id AND CAST(0.43 AS DOUBLE) * CAST(0.5 AS DOUBLE) + CAST(0.24 AS DOUBLE) * least(t / CAST(10 AS DOUBLE), 1) + CAST(0.22 AS DOUBLE) * least(g / CAST(10 AS DOUBLE), 1) >= CAST(0.34 AS DOUBLE)),
-w AS (SELECT x AS src, y AS dst FROM p UNION SELECT y, x FROM p), c AS (SELECT path, min(cluster) AS cluster FROM (WITH RECURSIVE q(path, cluster) AS (SELECT src, src FROM w UNION SELECT w.dst, q.cluster FROM q JOIN w ON w.src = q.path WHERE q.cluster < w.dst) SELECT * FROM q) GROUP BY path)
-SELECT path, cluster, count(*) OVER (PARTITION BY cluster) AS n_members FROM c""",
     "blame_rollup": f"""WITH commits AS ({SQL_COMMITS}), l AS (SELECT l_partkey AS chunk_id, l_orderkey AS commit, CAST(sum(l_linenumber) AS BIGINT) AS n, max(authored_at_s) AS at_s FROM lineitem JOIN commits ON hash = l_orderkey GROUP BY ALL)
 SELECT chunk_id, arg_max(commit, (n, commit)) AS dominant, arg_max(commit, (at_s, commit)) AS newest, arg_min(commit, (at_s, commit)) AS oldest, CAST(sum(n) AS BIGINT) AS n_lines FROM l GROUP BY chunk_id""",
     "library_usage": "WITH c AS (SELECT l_partkey AS moniker, count(*) AS call_count FROM lineitem GROUP BY l_partkey) SELECT moniker, call_count, least(call_count, 25) AS shown, CAST(row_number() OVER (ORDER BY call_count DESC, moniker) AS INTEGER) AS rank FROM c",
     "closing_edges": "WITH r AS (SELECT l_partkey AS issue, l_returnflag = 'R' AS trusted, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS seq, max(l_suppkey) AS closer FROM lineitem GROUP BY ALL) SELECT issue, closer, trusted FROM r QUALIFY row_number() OVER (PARTITION BY issue ORDER BY trusted DESC, seq DESC) = 1",
     "commits_touching": f"{_BM}, x AS (SELECT doc_id AS hash, rank - 1 AS place FROM b WHERE rank <= 20), h AS (SELECT l_orderkey AS hash, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey IN (3, 5) GROUP BY l_orderkey) SELECT hash, CAST(coalesce(place, 20) - CAST(0.25 AS DOUBLE) * coalesce(n, 0) AS DOUBLE) AS score FROM x FULL JOIN h USING (hash)",
     "commit_search": f"{_BM} SELECT doc_id, rank, floor(1 / sqrt(rank) * 10000 + 0.5) / 10000 AS rank_score FROM b",
-    **{f"brief_{mode}": _brief_sql(mode) for mode in BRIEF_WEIGHTS},
 }

@@ -12,6 +12,7 @@ MODULES = (
     "quernel.operators.search",
     "quernel.operators.fusion",
     "quernel.operators.clones",
+    "quernel.operators.refine",
     "quernel.operators.index",
     "quernel.operators.evidence",
     "quernel.operators.verdicts",

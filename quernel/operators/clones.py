@@ -45,8 +45,11 @@ def bags(prints: DataFrame) -> DataFrame:
     return own.select("r.id", "language", "r.n_tokens", F.explode("r.tokens").alias("token")).groupBy("id", "language", "n_tokens", "token").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def clone_pairs(bagged: DataFrame, theta: float = THETA) -> DataFrame:
-    """(id_a, id_b, overlap, n_a, n_b), id_a < id_b, of one language: the verified pairs of class representatives."""
+def clone_pairs(bagged: DataFrame, theta: float = THETA, changed: DataFrame | None = None) -> DataFrame:
+    """(id_a, id_b, overlap, n_a, n_b), id_a < id_b, of one language: the verified pairs of class representatives.
+
+    With ``changed`` (id) only the pairs of which one is changed.
+    """
     theta = check_theta(theta)
     df = bagged.groupBy("language", "token").agg(F.count(F.lit(1)).alias("df"))
     ranked = bagged.join(df, ["language", "token"])
@@ -57,7 +60,18 @@ def clone_pairs(bagged: DataFrame, theta: float = THETA) -> DataFrame:
     side = lambda x: prefix.select("language", "token", F.col("id").alias(f"id_{x}"), F.col("n_tokens").alias(f"n_{x}"), F.col("freq").alias(f"f_{x}"), F.col("upto").alias(f"u_{x}"))
     most = F.greatest("n_a", "n_b")
     likely = F.least("n_a", "n_b") >= F.ceil(F.lit(theta) * most)
-    met = side("a").join(side("b"), ["language", "token"]).where((F.col("id_a") < F.col("id_b")) & likely)
+    left, right = side("a"), side("b")
+    if changed is not None:  # the first side is the changed one; pairs of two changed texts are taken once
+        mine = changed.select("id").distinct().withColumn("_c", F.lit(True))
+        left = left.join(mine.withColumnRenamed("id", "id_a"), "id_a", "left_semi")
+        right = right.join(mine.withColumnRenamed("id", "id_b"), "id_b", "left")
+        met = left.join(right, ["language", "token"]).where(likely & ((F.col("id_a") < F.col("id_b")) | (F.col("_c").isNull() & (F.col("id_a") > F.col("id_b")))))
+        turn = F.col("id_a") > F.col("id_b")
+        pick = lambda n: F.when(turn, F.col(f"{n}_b")).otherwise(F.col(f"{n}_a"))
+        other = lambda n: F.when(turn, F.col(f"{n}_a")).otherwise(F.col(f"{n}_b"))
+        met = met.select(*[pick(n).alias(f"{n}_a") for n in ("id", "n", "f", "u")], *[other(n).alias(f"{n}_b") for n in ("id", "n", "f", "u")])
+    else:
+        met = left.join(right, ["language", "token"]).where((F.col("id_a") < F.col("id_b")) & likely)
     # what is shared in the prefixes and all that can follow the last shared token
     met = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.sum(F.least("f_a", "f_b")).alias("shared"), F.max("u_a").alias("u_a"), F.max("u_b").alias("u_b"))
     bound = F.col("shared") + F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
@@ -78,33 +92,40 @@ def class_metrics(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     scored = pairs.select(F.col("id_a").alias("id"), (F.col("overlap") / F.greatest("n_a", "n_b")).alias("s")).join(classes, "id")
     ends = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_members"))
     found = scored.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.min("s"), 4).alias("least_similarity"), F.round(F.avg("s"), 4).alias("mean_similarity"))
-    confidence = F.when(F.col("least_similarity") >= 0.9, "high").when(F.col("least_similarity") < 0.7, "low").otherwise("medium")
-    return found.join(ends, "class_id").withColumn("confidence", confidence)
+    return found.join(ends, "class_id")
+
+
+def lcs_length(s: list[str], t: list[str]) -> int:
+    """Length of the longest common subsequence, bit-parallel: a big integer holds a row of the table, so n x m cells cost n x m / 64 word steps."""
+    masks: dict[str, int] = {}
+    for k, x in enumerate(s):
+        masks[x] = masks.get(x, 0) | 1 << k
+    full = (1 << len(s)) - 1
+    row = full
+    for y in t:
+        m = row & masks.get(y, 0)
+        row = (row + m | row - m) & full
+    return len(s) - row.bit_count()
 
 
-def lcs_ratio(pairs: DataFrame, prints: DataFrame, longest: int = 2_000) -> DataFrame:
-    """(id_a, id_b, fidelity): longest common subsequence over the longer length; above ``longest`` tokens the bag overlap, 0.85 at most."""
+def lcs_ratio(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(id_a, id_b, fidelity): longest common subsequence of the tokens over the longer text's, whatever their length.
+
+    What two texts share at both ends is part of some longest subsequence and is cut off first.
+    """
     a, b = prints.select(F.col("id").alias("id_a"), F.col("tokens").alias("s")), prints.select(F.col("id").alias("id_b"), F.col("tokens").alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
         for batch in batches:
             out = []
             for s, t in zip(batch.s, batch.t, strict=True):
                 s, t = list(s), list(t)
-                if max(len(s), len(t)) > longest:
-                    out.append(min(0.85, 2 * (Counter(s) & Counter(t)).total() / (len(s) + len(t))))
-                    continue
-                # bit-parallel: one big integer holds a row of the table
-                masks: dict[str, int] = {}
-                for k, x in enumerate(s):
-                    masks[x] = masks.get(x, 0) | 1 << k
-                row = (1 << len(s)) - 1
-                for y in t:
-                    m = row & masks.get(y, 0)
-                    row = (row + m | row - m) & (1 << len(s)) - 1
-                out.append((len(s) - row.bit_count()) / max(len(s), len(t), 1))
+                longest, same = max(len(s), len(t), 1), 0
+                low = next((k for k, (x, y) in enumerate(zip(s, t, strict=False)) if x != y), min(len(s), len(t)))
+                s, t, same = s[low:], t[low:], low
+                high = next((k for k, (x, y) in enumerate(zip(reversed(s), reversed(t), strict=False)) if x != y), min(len(s), len(t)))
+                s, t, same = s[: len(s) - high], t[: len(t) - high], same + high
+                out.append((same + lcs_length(s, t)) / longest)
             yield pd.DataFrame({"id_a": batch.id_a, "id_b": batch.id_b, "fidelity": [round(x, 4) for x in out]})
 
     return pairs.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").mapInPandas(run, "id_a bigint, id_b bigint, fidelity double")
@@ -145,5 +166,5 @@ SQL = {
 c AS (SELECT id, min(class_id) AS class_id FROM (WITH RECURSIVE q(id, class_id) AS (SELECT src, src FROM y UNION SELECT y.dst, q.class_id FROM q JOIN y ON y.src = q.id WHERE q.class_id < y.dst) SELECT * FROM q) GROUP BY id),
 m AS (SELECT class_id, count(*) AS n_members FROM c GROUP BY class_id), s AS (SELECT class_id, overlap / CAST(greatest(n_a, n_b) AS DOUBLE) AS s FROM x JOIN c ON id_a = id),
 g AS (SELECT class_id, count(*) AS n_pairs, round(min(s), 4) AS least_similarity, round(avg(s), 4) AS mean_similarity FROM s GROUP BY class_id)
-SELECT *, CASE WHEN least_similarity >= 0.9 THEN 'high' WHEN least_similarity < 0.7 THEN 'low' ELSE 'medium' END AS confidence FROM g JOIN m USING (class_id)""",
+SELECT * FROM g JOIN m USING (class_id)""",
 }

@@ -52,7 +52,7 @@ def _facts(s: SparkSession, d: str, flag: str) -> DataFrame:
 
 def _gap(s, d):
     ranks = pagerank(ranked_edges(edges(s, d))).select("node", F.round("rank", 6).alias("rank"))
-    return coverage_gap(ranks, table(s, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("node")), 50)
+    return coverage_gap(ranks, table(s, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("node")))
 
 
 QUERIES = {
@@ -67,13 +67,13 @@ def _sql() -> dict[str, str]:
     from quernel.operators.graph import _pagerank_sql
 
     fact = "SELECT l_partkey % 97 AS enum, l_partkey % 97 % 5 * (l_linenumber % 2) AS owner, l_partkey AS variant, l_suppkey AS symbol FROM lineitem WHERE l_returnflag = "
-    ranks = _pagerank_sql(5)
+    ranks = _pagerank_sql(12)
     return {
         "dispatch_edges": f"""WITH c AS ({fact}'A'), h AS ({fact}'R'), o AS (SELECT enum FROM h GROUP BY enum HAVING count(DISTINCT owner) = 1), a AS (SELECT DISTINCT enum, variant, symbol AS src FROM c), b AS (SELECT DISTINCT enum, variant, symbol AS dst FROM h),
 k AS (SELECT enum, variant FROM (SELECT enum, variant, count(*) AS x FROM a GROUP BY ALL) JOIN (SELECT enum, variant, count(*) AS y FROM b GROUP BY ALL) USING (enum, variant) WHERE x * y <= 64)
 SELECT DISTINCT src, dst FROM a JOIN k USING (enum, variant) JOIN b USING (enum, variant) JOIN o USING (enum) WHERE src <> dst""",
         "uncovered_calls": f"WITH e AS ({SQL_EDGES}) SELECT DISTINCT src, dst FROM e x WHERE kind = 'calls_name' AND NOT EXISTS (SELECT 1 FROM e y WHERE y.confidence = 'Exact' AND y.src = x.src AND y.dst = x.dst)",
-        "coverage_gap": f"WITH k AS (SELECT * FROM ({ranks}) ORDER BY rank DESC, node LIMIT 50), p AS (SELECT node, CAST(row_number() OVER (ORDER BY rank DESC, node) AS INTEGER) AS place FROM k) SELECT * FROM p WHERE node NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)",
+        "coverage_gap": f"WITH k AS (SELECT * FROM ({ranks}) ORDER BY rank DESC, node LIMIT 500), p AS (SELECT node, CAST(row_number() OVER (ORDER BY rank DESC, node) AS INTEGER) AS place FROM k) SELECT * FROM p WHERE node NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)",
         "droppable_prefix": "WITH f AS (SELECT stream_id, min(lamport) AS floor FROM table_sync_chain_tips GROUP BY stream_id), e AS (SELECT DISTINCT entry_hash, stream_id, lamport FROM table_sync_entries) SELECT stream_id, CAST(count(*) FILTER (lamport < floor) AS BIGINT) AS n_droppable FROM e JOIN f USING (stream_id) GROUP BY stream_id",
     }
 

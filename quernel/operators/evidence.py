@@ -133,6 +133,12 @@ def _halves(s, d):
     return shape(events.where("event_id % 2 = 0")), shape(events.where("event_id % 2 = 1"))
 
 
+def _forked(s, d):
+    """The feed with a second entry at every fiftieth lamport."""
+    e = table(s, d, "table_sync_entries").select("stream_id", "device_fingerprint", "lamport", "entry_hash")
+    return e.unionByName(e.where("lamport % 50 = 0").withColumn("entry_hash", F.concat("entry_hash", F.lit("x"))))
+
+
 def _documents(s, d):
     return table(s, d, "documents")
 
@@ -156,7 +162,7 @@ QUERIES = {
     "sync_findings": lambda s, d: sync_findings(*_halves(s, d)),
     "effective_rank": lambda s, d: effective_rank(_findings(s, d), 1_735_689_600),
     "row_ops": _row_ops,
-    "chain_forks": lambda s, d: forks(table(s, d, "table_sync_entries")),
+    "chain_forks": lambda s, d: forks(_forked(s, d)),
     "pending_entries": lambda s, d: pending_entries(table(s, d, "table_sync_entries"), table(s, d, "table_sync_chain_tips")),
     "chain_cursors": lambda s, d: chain_cursors(table(s, d, "table_sync_entries")),
     "latest_refs": lambda s, d: latest_refs(table(s, d, "events")),
@@ -186,7 +192,7 @@ SQL = {
 SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.subject, b.subject) AS subject, CASE WHEN a.kind IS NULL THEN 'open' WHEN b.kind IS NULL THEN 'resolve' WHEN a.claim IS NOT DISTINCT FROM b.claim THEN 'refresh' ELSE 'supersede' END AS action FROM a FULL JOIN b ON a.kind = b.kind AND a.subject = b.subject""",
     "effective_rank": "SELECT event_id AS id, round(value * pow(CAST(0.5 AS DOUBLE), greatest(1735689600 - CAST(floor(epoch(ts)) AS BIGINT), 0) / CAST(86400 AS DOUBLE) / 14), 4) AS rank FROM events",
     "row_ops": _row_ops_sql(),
-    "chain_forks": "SELECT stream_id, device_fingerprint, lamport, count(DISTINCT entry_hash) AS n FROM table_sync_entries GROUP BY ALL HAVING count(DISTINCT entry_hash) > 1",
+    "chain_forks": "SELECT stream_id, device_fingerprint, lamport, count(DISTINCT entry_hash) AS n FROM (SELECT * FROM table_sync_entries UNION ALL SELECT * REPLACE (entry_hash || 'x' AS entry_hash) FROM table_sync_entries WHERE lamport % 50 = 0) GROUP BY ALL HAVING count(DISTINCT entry_hash) > 1",
     "pending_entries": "WITH t AS (SELECT stream_id, device_fingerprint, max(lamport) AS tip FROM table_sync_chain_tips GROUP BY ALL), e AS (SELECT DISTINCT entry_hash, stream_id, device_fingerprint, lamport FROM table_sync_entries) SELECT entry_hash, e.stream_id, e.lamport FROM e LEFT JOIN t USING (stream_id, device_fingerprint) WHERE tip IS NULL OR e.lamport > tip",
     "chain_cursors": "SELECT stream_id, min(received_at_ms) AS low, max(received_at_ms) AS high, max(received_at_ms) - 1000 AS resume_ms FROM table_sync_entries GROUP BY stream_id",
     "latest_refs": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",

@@ -21,8 +21,8 @@ def logical_symbols(chunks: DataFrame, files: DataFrame) -> DataFrame:
     own = chunks.where("symbol_path is not null").select("id", "file_id", "symbol_path", "chunk_kind").distinct()
     rows = own.join(files.select(F.col("id").alias("file_id"), "repo_id", "language", "path"), "file_id")
     key = F.concat_ws("\u001f", "repo_id", "language", "path", "symbol_path", "chunk_kind")
-    digest = F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("bigint")
-    return rows.groupBy(F.shiftright(digest, 1).alias("logical_id")).agg(F.count(F.lit(1)).alias("n_members"), F.min("id").alias("first_id"))
+    digest = F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, -10).cast("bigint")  # signed, so that all 64 bits fit
+    return rows.groupBy(F.shiftrightunsigned(digest, 1).alias("logical_id")).agg(F.count(F.lit(1)).alias("n_members"), F.min("id").alias("first_id"))
 
 
 def resolve_names(uses: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ b AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT
 
 SQL = {
     "logical_symbols": f"""{_FILES}, r AS (SELECT DISTINCT c.id, f.repo_id, f.language, f.path, c.symbol_path, c.chunk_kind FROM chunks c JOIN f ON f.id = c.file_id WHERE c.symbol_path IS NOT NULL),
-k AS (SELECT id, CAST('0x' || substr(sha256(concat_ws(chr(31), repo_id, language, path, symbol_path, chunk_kind)), 1, 15) AS BIGINT) AS h FROM r) SELECT h >> 1 AS logical_id, count(*) AS n_members, min(id) AS first_id FROM k GROUP BY 1""",
+k AS (SELECT id, CAST('0x' || substr(sha256(concat_ws(chr(31), repo_id, language, path, symbol_path, chunk_kind)), 1, 16) AS UBIGINT) AS h FROM r) SELECT CAST(h >> 1 AS BIGINT) AS logical_id, count(*) AS n_members, min(id) AS first_id FROM k GROUP BY 1""",
     "resolve_names": f"""{_FILES}, c AS (SELECT DISTINCT c.id, c.file_id, c.symbol_path, f.repo_id FROM chunks c JOIN f ON f.id = c.file_id), a AS (SELECT symbol_path, file_id, count(*) AS n, min(id) AS s FROM c WHERE symbol_path IS NOT NULL GROUP BY ALL), b AS (SELECT symbol_path, repo_id, count(*) AS n, min(id) AS s FROM c WHERE symbol_path IS NOT NULL GROUP BY ALL),
 g AS (SELECT symbol_path, count(*) AS n, min(id) AS s FROM c WHERE symbol_path IS NOT NULL GROUP BY ALL)
 SELECT c.id AS use_id, CASE WHEN a.n = 1 THEN a.s WHEN b.n = 1 THEN b.s WHEN g.n = 1 THEN g.s END AS symbol_id, CASE WHEN a.n = 1 THEN 'file' WHEN b.n = 1 THEN 'repo' WHEN g.n = 1 THEN 'global' WHEN g.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS reason

@@ -14,6 +14,8 @@ MODULES = (
     "quernel.operators.clones",
     "quernel.operators.refine",
     "quernel.operators.index",
+    "quernel.operators.impact",
+    "quernel.operators.incremental",
     "quernel.operators.evidence",
     "quernel.operators.verdicts",
     "quernel.operators.papertrail",

@@ -5,7 +5,7 @@ import pytest
 
 from quernel.operators import changefeed as c
 from quernel.operators.evidence import forks, pending_entries, row_ops
-from quernel.plans.generations import current, publish, read_current
+from quernel.plans.generations import current, publish, read_buckets, read_current
 
 ENTRY = "stream_id string, repo_id string, device_fingerprint string, lamport bigint, op string, table_name string, row_pk string, synced_hash string, stated_lamport bigint, stated_device_fingerprint string, entry_hash string, lamport_note string"
 TIP = "stream_id string, device_fingerprint string, lamport bigint, row_pk string"
@@ -100,7 +100,7 @@ def test_stream_gives_the_batch_state(spark, tmp_path):
     stream = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     query = apply_feed(stream, tips, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
     query.awaitTermination(120)
-    got = {r.row_pk: r.synced_hash for r in c.live_rows(read_current(spark, f"file://{tmp_path}/out")).collect()}
+    got = {r.row_pk: r.synced_hash for r in c.live_rows(read_buckets(spark, f"file://{tmp_path}/out")).collect()}
     assert got == state(spark, rows, TIPS)
 
 
@@ -115,6 +115,6 @@ def test_entries_above_the_tip_count_once_it_moves(spark, tmp_path):
     stream = spark.readStream.schema(ENTRY).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     for tips in (low, low, moved):
         apply_feed(stream, spark.createDataFrame(tips, TIP), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination(120)
-        got = {r.row_pk: r.synced_hash for r in c.live_rows(read_current(spark, f"file://{tmp_path}/out")).collect()}
+        got = {r.row_pk: r.synced_hash for r in c.live_rows(read_buckets(spark, f"file://{tmp_path}/out")).collect()}
         assert got == state(spark, rows, tips)
     assert state(spark, rows, low) != state(spark, rows, moved)

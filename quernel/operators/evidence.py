@@ -35,10 +35,18 @@ def nearest_rank(rows: DataFrame, value: str, share: float, keys: list[str]) ->
     return placed.withColumn("_upto", upto).where((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)).select(*keys, value)
 
 
-def recall_at(ranking: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(query_id, recall): share of the gold items among the first k of (query_id, item, rank); queries without gold don't come out."""
-    hits = gold.join(ranking.where(F.col("rank") <= k).select("query_id", "item", F.lit(1).alias("hit")), ["query_id", "item"], "left")
-    return hits.groupBy("query_id").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+def recall_at(ranking: DataFrame, gold: DataFrame, k: int, suffix: bool = False) -> DataFrame:
+    """(query_id, recall): share of the gold items among the first k of (query_id, item, rank); 1 for a query without gold.
+
+    With ``suffix`` an item also counts where it ends on the gold item (symbols by their last parts).
+    """
+    first = ranking.where(F.col("rank") <= k).select("query_id", F.col("item").alias("found")).distinct()
+    gold = gold.select("query_id", "item").distinct()
+    same = (F.col("found") == F.col("item")) | (F.col("found").endswith(F.col("item")) if suffix else F.lit(False))
+    met = gold.join(first, "query_id").where(same).select("query_id", "item").distinct() if suffix else gold.join(first.withColumnRenamed("found", "item"), ["query_id", "item"], "left_semi")
+    counts = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(met.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id", "left")
+    every = ranking.select("query_id").union(gold.select("query_id")).distinct()
+    return every.join(counts, "query_id", "left").select("query_id", F.round(F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("m", F.lit(0)) / F.col("n")), 6).alias("recall"))
 
 
 def reciprocal_rank(ranking: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
@@ -47,12 +55,6 @@ def reciprocal_rank(ranking: DataFrame, gold: DataFrame, k: int = 10) -> DataFra
     return ranking.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
 
 
-def code_identifiers(documents: DataFrame) -> DataFrame:
-    """(doc_id, identifier): distinct identifiers quoted in back ticks."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("`([A-Za-z_][A-Za-z0-9_]*)`"), 1)))
-    return documents.where("text is not null").select("doc_id", found.alias("identifier"))
-
-
 def duplicate_notes(notes: DataFrame) -> DataFrame:
     """(content_hash, first_id, n): notes (id, text) with the same trimmed text."""
     return notes.where("trim(text) <> ''").groupBy(F.sha2(F.trim("text"), 256).alias("content_hash")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -118,13 +120,24 @@ def event_lww(events: DataFrame) -> DataFrame:
     return best.where("w.event_type <> 'error'").select("pk", F.round("w.value", 4).alias("value"))
 
 
+#: Queries that are compared with all rows at once.
+QUERY_BLOCK = 4_096
+
+
 def _ranking(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest of every hundredth vector, and the vectors of its label as gold (none for every third query)."""
     vectors = table(s, d, "embeddings")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("want"))
-    pairs = vectors.select(F.col("vec_id").alias("item"), "embedding", "label").join(F.broadcast(asked), F.col("item") != F.col("query_id"))
-    scored = pairs.select("query_id", "item", F.round(dot("embedding", "q"), 6).alias("s"), (F.col("label") == F.col("want")).alias("good"))
-    ranking = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "item")))
-    return ranking.select("query_id", "item", "rank"), scored.where("good").select("query_id", "item")
+    blocks, ranking = max(1, -(-asked.count() // QUERY_BLOCK)), None
+    place = Window.partitionBy("query_id").orderBy(F.desc("s"), "item")
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = vectors.select(F.col("vec_id").alias("item"), "embedding").join(F.broadcast(own), F.col("item") != F.col("query_id"))
+        # the ten best of each task come first, so that no query's pairs are sorted as a whole
+        best = pairs.select("query_id", "item", F.round(dot("embedding", "q"), 6).alias("s")).withColumn("rank", F.row_number().over(place)).where("rank <= 10").select("query_id", "item", "rank")
+        ranking = best if ranking is None else ranking.unionByName(best)
+    gold = vectors.select(F.col("vec_id").alias("item"), F.col("label").alias("want")).join(asked.where("query_id % 300 <> 0").select("query_id", "want"), "want").where("item <> query_id").select("query_id", "item")
+    return ranking, gold
 
 
 def _halves(s, d):
@@ -157,7 +170,6 @@ QUERIES = {
     "percentiles": lambda s, d: nearest_rank(table(s, d, "events"), "value", 0.95, ["event_type"]),
     "recall_at_10": lambda s, d: recall_at(*_ranking(s, d), 10),
     "reciprocal_rank": lambda s, d: reciprocal_rank(*_ranking(s, d)),
-    "code_identifiers": lambda s, d: code_identifiers(_documents(s, d)),
     "duplicate_notes": lambda s, d: duplicate_notes(_documents(s, d).select(F.col("doc_id").alias("id"), "text")),
     "sync_findings": lambda s, d: sync_findings(*_halves(s, d)),
     "effective_rank": lambda s, d: effective_rank(_findings(s, d), 1_735_689_600),
@@ -169,7 +181,7 @@ QUERIES = {
     "sessions": lambda s, d: sessions(table(s, d, "events")),
     "event_lww": lambda s, d: event_lww(table(s, d, "events")),
 }
-_RANK = """WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS want FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS item, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS s, label = want AS good FROM embeddings JOIN q ON vec_id <> query_id),
+_RANK = """WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS want FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT query_id, vec_id AS item, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS s, label = want AND query_id % 300 <> 0 AS good FROM embeddings JOIN q ON vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rank FROM x)"""
 
 
@@ -184,9 +196,8 @@ SELECT * FROM b WHERE op IS NOT NULL"""
 
 SQL = {
     "percentiles": "WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value FROM p WHERE k = ceil((n - 1) * CAST(0.95 AS DOUBLE))",
-    "recall_at_10": f"{_RANK} SELECT query_id, round(count(*) FILTER (rank <= 10) / CAST(count(*) AS DOUBLE), 6) AS recall FROM r WHERE good GROUP BY query_id",
+    "recall_at_10": f"{_RANK} SELECT query_id, CASE WHEN count(*) FILTER (good) = 0 THEN 1 ELSE round(count(*) FILTER (good AND rank <= 10) / CAST(count(*) FILTER (good) AS DOUBLE), 6) END AS recall FROM r GROUP BY query_id",
     "reciprocal_rank": f"{_RANK} SELECT query_id, round(coalesce(1 / CAST(min(CASE WHEN good AND rank <= 10 THEN rank END) AS DOUBLE), 0), 6) AS rr FROM r GROUP BY query_id",
-    "code_identifiers": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '`([A-Za-z_][A-Za-z0-9_]*)`', 1)) AS identifier FROM documents WHERE text IS NOT NULL",
     "duplicate_notes": "SELECT sha256(trim(text, ' ')) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE trim(text, ' ') <> '' GROUP BY 1 HAVING count(*) > 1",
     "sync_findings": """WITH h AS (SELECT event_type AS kind, user_id AS subject, event_id % 2 AS half, max(floor(value)) AS claim FROM events GROUP BY ALL), a AS (SELECT * FROM h WHERE half = 0), b AS (SELECT * FROM h WHERE half = 1)
 SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.subject, b.subject) AS subject, CASE WHEN a.kind IS NULL THEN 'open' WHEN b.kind IS NULL THEN 'resolve' WHEN a.claim IS NOT DISTINCT FROM b.claim THEN 'refresh' ELSE 'supersede' END AS action FROM a FULL JOIN b ON a.kind = b.kind AND a.subject = b.subject""",

@@ -128,13 +128,13 @@ def content_digest(files: DataFrame) -> DataFrame:
 
 
 def moved_digest(state: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """``state`` (a ``content_digest``) after rows were added and removed, without reading the others."""
+    """``state`` (a ``content_digest``) after rows were added and removed, without reading the others; a repository without rows has none."""
     out = state
     for rows, sign in ((added, 1), (removed, -1)):
         d = content_digest(rows).select("repo_id", *[F.col(f"lane_{k}").alias(f"m_{k}") for k in range(1, 5)], F.col("n").alias("m"))
         lane = lambda k, sign=sign: F.pmod(F.coalesce(F.col(f"lane_{k}"), F.lit("0")).cast("decimal(38,0)") + sign * F.coalesce(F.col(f"m_{k}"), F.lit("0")).cast("decimal(38,0)"), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string").alias(f"lane_{k}")
         out = out.join(d, "repo_id", "full_outer").select("repo_id", *[lane(k) for k in range(1, 5)], (F.coalesce("n", F.lit(0)) + sign * F.coalesce("m", F.lit(0))).alias("n"))
-    return out
+    return out.where("n <> 0")
 
 
 def read_chunk(chunks: DataFrame, texts: DataFrame, chunk_id: int, around: int = 1) -> DataFrame:

@@ -19,6 +19,8 @@ from quernel.plans.cluster import spill_table
 from quernel.sources.tables import table
 
 THETA, LEAST_TOKENS = 0.7, 20
+#: Words of 64 marks in a bag's signature.
+WORDS = 8
 
 
 def check_theta(theta: float) -> float:
@@ -77,7 +79,15 @@ def clone_pairs(bagged: DataFrame, theta: float = THETA, changed: DataFrame | No
     bound = F.col("shared") + F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
     pairs = spill_table(met.where(bound >= F.ceil(F.lit(theta) * most)).select("id_a", "id_b", "n_a", "n_b"), "clone-candidates")
     each = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("freq")), lambda k: F.xxhash64("token", k))
-    whole = spill_table(bagged.groupBy("id").agg(F.flatten(F.collect_list(each)).alias("bag")), "clone-bags-whole")
+    whole = bagged.groupBy("id").agg(F.flatten(F.collect_list(each)).alias("bag"))
+    marks = [F.expr(f"aggregate(bag, 0L, (a, x) -> a | if(pmod(x, {WORDS}) = {w}, shiftleft(1L, cast(pmod(shiftright(x, 3), 64) as int)), 0L))").alias(f"w{w}") for w in range(WORDS)]
+    whole = spill_table(whole.select("id", "bag", *marks), "clone-bags-whole")
+    # every mark of one bag that the other lacks stands for an occurrence that isn't shared
+    mark = lambda x: whole.select(F.col("id").alias(f"id_{x}"), *[F.col(f"w{w}").alias(f"{x}{w}") for w in range(WORDS)])
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in range(WORDS)), F.lit(0))
+    able = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a")) >= F.ceil(F.lit(theta) * most)
+    pairs = spill_table(pairs.join(mark("a"), "id_a").join(mark("b"), "id_b").where(able).select("id_a", "id_b", "n_a", "n_b"), "clone-likely")
+    whole = whole.select("id", "bag")
     both = pairs.join(whole.toDF("id_a", "s"), "id_a").join(whole.toDF("id_b", "t"), "id_b")
     return both.select("id_a", "id_b", "n_a", "n_b", F.size(F.array_intersect("s", "t")).cast("bigint").alias("overlap")).where(F.col("overlap") >= F.ceil(F.lit(theta) * most))
 

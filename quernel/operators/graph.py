@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.exprs import RANK_CONFIDENCE, RANK_KIND, lookup, round4
-from quernel.plans.cluster import cut, spill_table
+from quernel.plans.cluster import drop_spilled, spill_table
 from quernel.plans.ranks import global_rank
 from quernel.sources.projections import SQL_EDGES, SQL_SYMBOLS, edges, symbols
 
@@ -16,10 +16,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds, which need O(log n) rounds on paths and never gather a
     component in one task: a node's neighbours are only joined with the node's minimum. Null ends and loops
-    are ignored; nodes without an edge to another don't come out. Lineage is cut each round.
+    are ignored; nodes without an edge to another don't come out. Each round is written once.
     """
     links = edges.where("src is not null and dst is not null and src <> dst")
-    links = cut(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    links = spill_table(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "component-links")
+    size = links.count()
     while True:
         # large star: every larger neighbour of u is linked to the smallest of u's neighbourhood
         both = links.union(links.select("v", "u"))
@@ -28,9 +29,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        same = after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty()
-        links = after
+        after = spill_table(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "component-links")
+        now = after.count()
+        same = now == size and after.join(links, ["u", "v"], "left_anti").isEmpty()
+        drop_spilled(links)
+        links, size = after, now
         if same:
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v")).distinct()
@@ -74,7 +77,7 @@ def pagerank(edge_table: DataFrame, damping: float = 0.85, most: int = 100, tole
         return nodes.select("node", F.lit(0.0).alias("rank"))
     share = F.col("weight") / F.lit(float(sums["s"])) if sums and sums["s"] else F.lit(1.0 / n)
     nodes = spill_table(nodes.select("node", F.coalesce("sends", F.lit(False)).alias("sends"), share.alias("teleport")), "pagerank-nodes")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    ranks, last = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for _ in range(most):
         lost = ranks.where(~F.col("sends")).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
@@ -84,9 +87,9 @@ def pagerank(edge_table: DataFrame, damping: float = 0.85, most: int = 100, tole
             .join(F.broadcast(lost))
             .select("node", "sends", "teleport", "old", ((1 - damping) * F.col("teleport") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") * F.col("teleport"))).alias("rank"))
         )
-        fresh = cut(fresh)
+        fresh = spill_table(fresh, "ranks", last)
         moved = fresh.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).first()["moved"]
-        ranks = fresh.drop("old")
+        ranks, last = fresh.drop("old"), fresh
         if moved < tolerance:
             break
     return ranks.select("node", "rank")

@@ -52,11 +52,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quernel/{name}-{uuid.uuid4().hex}"
 
 
-def spill_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back (columnar, pruned on reading)."""
+def spill_table(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back (columnar, pruned on reading).
+
+    ``instead``: the spilled table of the round before, which nothing needs once this one is written; it is deleted.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spilled = path
+    if instead is not None and getattr(instead, "_spilled", None):
+        drop_spilled(instead)
+    return out
+
+
+def drop_spilled(df: DataFrame) -> None:
+    """Delete the table behind a spilled DataFrame."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._spilled)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

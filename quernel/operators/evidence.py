@@ -120,6 +120,18 @@ def event_lww(events: DataFrame) -> DataFrame:
     return best.where("w.event_type <> 'error'").select("pk", F.round("w.value", 4).alias("value"))
 
 
+def eval_summary(ranking: DataFrame, gold: DataFrame, latencies: DataFrame) -> DataFrame:
+    """One row over the queries of ``ranking``: reciprocal rank within 10, recall at 3 and 10, share of queries with all gold within 10, p50 and p95 of ``latencies`` (ms)."""
+    three, ten, rr = recall_at(ranking, gold, 3).withColumnRenamed("recall", "r3"), recall_at(ranking, gold, 10).withColumnRenamed("recall", "r10"), reciprocal_rank(ranking, gold)
+    one = three.join(ten, "query_id").join(rr, "query_id").agg(
+        F.round(F.avg("rr"), 6).alias("mrr_at_10"), F.round(F.avg("r3"), 6).alias("recall_at_3"), F.round(F.avg("r10"), 6).alias("recall_at_10"), F.round(F.avg((F.col("r10") >= 1).cast("double")), 6).alias("hit_rate"), F.count(F.lit(1)).alias("n_queries")
+    )
+    rows = latencies.select(F.lit(1).alias("g"), "ms")
+    for name, share in (("latency_p50", 0.5), ("latency_p95", 0.95)):
+        one = one.join(F.broadcast(nearest_rank(rows, "ms", share, ["g"]).select(F.col("ms").alias(name))))
+    return one
+
+
 #: Queries that are compared with all rows at once.
 QUERY_BLOCK = 4_096
 
@@ -170,6 +182,7 @@ QUERIES = {
     "percentiles": lambda s, d: nearest_rank(table(s, d, "events"), "value", 0.95, ["event_type"]),
     "recall_at_10": lambda s, d: recall_at(*_ranking(s, d), 10),
     "reciprocal_rank": lambda s, d: reciprocal_rank(*_ranking(s, d)),
+    "eval_summary": lambda s, d: eval_summary(*_ranking(s, d), table(s, d, "events").select(F.col("value").alias("ms"))),
     "duplicate_notes": lambda s, d: duplicate_notes(_documents(s, d).select(F.col("doc_id").alias("id"), "text")),
     "sync_findings": lambda s, d: sync_findings(*_halves(s, d)),
     "effective_rank": lambda s, d: effective_rank(_findings(s, d), 1_735_689_600),
@@ -198,6 +211,9 @@ SQL = {
     "percentiles": "WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, value FROM p WHERE k = ceil((n - 1) * CAST(0.95 AS DOUBLE))",
     "recall_at_10": f"{_RANK} SELECT query_id, CASE WHEN count(*) FILTER (good) = 0 THEN 1 ELSE round(count(*) FILTER (good AND rank <= 10) / CAST(count(*) FILTER (good) AS DOUBLE), 6) END AS recall FROM r GROUP BY query_id",
     "reciprocal_rank": f"{_RANK} SELECT query_id, round(coalesce(1 / CAST(min(CASE WHEN good AND rank <= 10 THEN rank END) AS DOUBLE), 0), 6) AS rr FROM r GROUP BY query_id",
+    "eval_summary": f"""{_RANK}, p AS (SELECT query_id, count(*) FILTER (good) AS n, count(*) FILTER (good AND rank <= 3) AS a, count(*) FILTER (good AND rank <= 10) AS b, min(CASE WHEN good AND rank <= 10 THEN rank END) AS f FROM r GROUP BY query_id),
+k AS (SELECT round(CASE WHEN n = 0 THEN 1 ELSE a / CAST(n AS DOUBLE) END, 6) AS r3, round(CASE WHEN n = 0 THEN 1 ELSE b / CAST(n AS DOUBLE) END, 6) AS r10, round(coalesce(1 / CAST(f AS DOUBLE), 0), 6) AS rr FROM p), v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS m FROM events WHERE value IS NOT NULL)
+SELECT round(avg(rr), 6) AS mrr_at_10, round(avg(r3), 6) AS recall_at_3, round(avg(r10), 6) AS recall_at_10, round(avg(CASE WHEN r10 >= 1 THEN 1 ELSE 0 END), 6) AS hit_rate, count(*) AS n_queries, (SELECT max(value) FROM v WHERE i = ceil((m - 1) * CAST(0.5 AS DOUBLE))) AS latency_p50, (SELECT max(value) FROM v WHERE i = ceil((m - 1) * CAST(0.95 AS DOUBLE))) AS latency_p95 FROM k""",
     "duplicate_notes": "SELECT sha256(trim(text, ' ')) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE trim(text, ' ') <> '' GROUP BY 1 HAVING count(*) > 1",
     "sync_findings": """WITH h AS (SELECT event_type AS kind, user_id AS subject, event_id % 2 AS half, max(floor(value)) AS claim FROM events GROUP BY ALL), a AS (SELECT * FROM h WHERE half = 0), b AS (SELECT * FROM h WHERE half = 1)
 SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.subject, b.subject) AS subject, CASE WHEN a.kind IS NULL THEN 'open' WHEN b.kind IS NULL THEN 'resolve' WHEN a.claim IS NOT DISTINCT FROM b.claim THEN 'refresh' ELSE 'supersede' END AS action FROM a FULL JOIN b ON a.kind = b.kind AND a.subject = b.subject""",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quernel.functions.exprs import round4
 from quernel.plans.cluster import spill_table
 from quernel.sources.projections import SQL_CHANGES, SQL_COMMITS, commits, file_changes
+from quernel.sources.tables import table
 
 #: Commits of the coupling window, file counts that take part, least shared commits and lift.
 WINDOW, FEWEST, MOST, LEAST_SHARED, LEAST_LIFT = 1_000, 2, 40, 2, 1.5
@@ -24,6 +25,18 @@ def history_for_path(changes: DataFrame, commit_table: DataFrame, path) -> DataF
     return own.orderBy(F.desc("authored_at_s"), "hash")
 
 
+def history_for_symbols(hits: DataFrame, changes: DataFrame, commit_table: DataFrame, most: int) -> DataFrame:
+    """(symbol_id, hash, rank): the newest ``most`` commits of the file of each looked-up symbol (symbol_id, path); all symbols in one join."""
+    rows = hits.select("symbol_id", "path").distinct().join(changes.select("hash", "path").distinct(), "path").join(commit_table.select("hash", "authored_at_s"), "hash")
+    place = Window.partitionBy("symbol_id").orderBy(F.desc("authored_at_s"), "hash")
+    return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most).select("symbol_id", "hash", "rank")
+
+
+def indexed_cases(cases: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(hash, path): the gold of replay cases (hash, path) that is indexed (path); a case without any is dropped."""
+    return cases.select("hash", "path").distinct().join(indexed.select("path").distinct(), "path", "left_semi").select("hash", "path")
+
+
 def recently_changed(changes: DataFrame, commit_table: DataFrame) -> DataFrame:
     """(path, changed_at_s): the last change of every path."""
     return changes.select("hash", "path").join(commit_table.select("hash", "authored_at_s"), "hash").groupBy("path").agg(F.max("authored_at_s").alias("changed_at_s"))
@@ -129,6 +142,17 @@ def q_part_couplings(spark, sf_dir):
     return change_couplings(*_tables(spark, sf_dir, "l_partkey")).select("path_a", "path_b", "co_change_count")
 
 
+def q_history_for_symbols(spark, sf_dir):
+    hits = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("path"), (F.col("s_suppkey") * 3).alias("symbol_id"))
+    return history_for_symbols(hits, *_tables(spark, sf_dir), 6)
+
+
+def q_indexed_cases(spark, sf_dir):
+    changes, commit_table = _tables(spark, sf_dir)
+    cases = changes.join(replay_cases(changes, commit_table).select("hash"), "hash", "left_semi")
+    return indexed_cases(cases, table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("path")))
+
+
 def q_replay_cases(spark, sf_dir):
     return replay_cases(*_tables(spark, sf_dir))
 
@@ -139,7 +163,7 @@ def q_co_touch(spark, sf_dir):
 
 QUERIES = {
     "history_for_path": q_history_for_path, "recently_changed": q_recently_changed, "churn": q_churn, "git_scores": q_git_scores, "change_couplings": q_couplings,
-    "coupled_files": q_coupled_files, "part_couplings": q_part_couplings, "replay_cases": q_replay_cases, "co_touch": q_co_touch,
+    "coupled_files": q_coupled_files, "part_couplings": q_part_couplings, "replay_cases": q_replay_cases, "co_touch": q_co_touch, "history_for_symbols": q_history_for_symbols, "indexed_cases": q_indexed_cases,
 }
 _BASE = f"WITH commits AS ({SQL_COMMITS}), changes AS ({SQL_CHANGES})"
 _CHURN = """, churned AS (SELECT path, count(DISTINCT hash) AS commit_touch_count,
@@ -159,6 +183,8 @@ couplings AS (SELECT p.*, x.n AS count_a, y.n AS count_b, (SELECT count(DISTINCT
 
 
 SQL = {
+    "history_for_symbols": f"{_BASE} SELECT path * 3 AS symbol_id, hash, CAST(row_number() OVER (PARTITION BY path ORDER BY authored_at_s DESC, hash) AS INTEGER) AS rank FROM changes JOIN commits USING (hash) WHERE path IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) QUALIFY row_number() OVER (PARTITION BY path ORDER BY authored_at_s DESC, hash) <= 6",
+    "indexed_cases": f"{_BASE} SELECT hash, path FROM changes WHERE hash IN (SELECT hash FROM changes GROUP BY hash HAVING count(DISTINCT path) BETWEEN 1 AND 3) AND hash IN (SELECT hash FROM commits WHERE subject NOT LIKE 'Merge %') AND path IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0)",
     "history_for_path": f"{_BASE} SELECT hash, path, additions, deletions, author, authored_at_s FROM changes JOIN commits USING (hash) WHERE path = 7",
     "recently_changed": f"{_BASE} SELECT path, max(authored_at_s) AS changed_at_s FROM changes JOIN commits USING (hash) GROUP BY path",
     "churn": f"{_BASE}{_CHURN} SELECT * FROM churned",

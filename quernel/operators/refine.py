@@ -118,6 +118,47 @@ def coherent_groups(pairs: DataFrame) -> DataFrame:
     return few.unionByName(many)
 
 
+def template(members: list[list[str]]) -> tuple[list[str | None], float]:
+    """What all members share in order, with None where some of them differ, and its share of the median member.
+
+    The first member is reduced to what it has in common with each other one in turn (by longest matching blocks), so the template is a subsequence of all.
+    """
+    from difflib import SequenceMatcher
+
+    kept = list(range(len(members[0])))
+    for other in members[1:]:
+        own = [members[0][k] for k in kept]
+        kept = [kept[b.a + n] for b in SequenceMatcher(None, own, other, autojunk=False).get_matching_blocks() for n in range(b.size)]
+    out: list[str | None] = []
+    last = -1
+    for k in kept:
+        if k > last + 1:
+            out.append(None)
+        out.append(members[0][k])
+        last = k
+    if last < len(members[0]) - 1:
+        out.append(None)
+    median = sorted(map(len, members))[len(members) // 2]
+    return out, len(kept) / median if median else 0.0
+
+
+def class_templates(classes: DataFrame, prints: DataFrame, members: int = 50) -> DataFrame:
+    """(class_id, template, n_holes, share) over the first ``members`` members of every class (id, class_id), by id; holes show as ``\u2026``."""
+    place = Window.partitionBy("class_id").orderBy("id")
+    first = classes.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= members).select("id", "class_id")
+    own = first.join(prints.select("id", "tokens"), "id").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("id", "tokens"))).alias("own"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for c, own in zip(b.class_id, b.own, strict=True):
+                made, share = template([list(x["tokens"]) for x in own])
+                out.append((c, " ".join("\u2026" if t is None else t for t in made), made.count(None), round(share, 4)))
+            yield pd.DataFrame(out, columns=["class_id", "template", "n_holes", "share"])
+
+    return own.mapInPandas(run, "class_id bigint, template string, n_holes int, share double")
+
+
 def confidence(fidelity, similarity) -> Column:
     """``high`` where both the subsequence ratio and the least similarity reach 0.9, ``low`` where either is below 0.7."""
     return F.when((fidelity >= HIGH_FLOOR) & (similarity >= HIGH_FLOOR), "high").when((fidelity < LOW_CEILING) | (similarity < LOW_CEILING), "low").otherwise("medium")
@@ -255,7 +296,8 @@ def _code(s, d):
 QUERIES = {
     "clone_groups": _groups,
     "clone_metrics": _metrics,
-    "find_clones": lambda s, d: find_clones(_metrics(s, d), 40),
+    "find_clones": lambda s, d: find_clones(_metrics(s, d), 40, class_templates(clone_classes(_pairs(s, d)), _prints(s, d)).select("class_id", "share")),
+    "clone_templates": lambda s, d: class_templates(clone_classes(_pairs(s, d)), _prints(s, d)),
     "clone_delta": _delta,
     "clones_of_text": _of_text,
     "code_clone_classes": lambda s, d: clones.exact_classes(_code(s, d)),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quernel.functions import exprs
 from quernel.operators import briefs, clones, evidence, graph, incremental, index, memory, papertrail, refine, resolution, verdicts
 from quernel.plans import ranks
+from quernel.sources import readers
 from quernel.streaming import feeds
 
 
@@ -141,6 +142,39 @@ def test_code_tokens_and_long_subsequences(spark):
     assert got == {(1, 2): 0.8, (1, 3): 0.0}
 
 
+def test_templates():
+    rng = random.Random(9)
+    for _ in range(20):
+        base = [f"t{rng.randint(0, 30)}" for _ in range(40)]
+        members = [[x for x in base if rng.random() < 0.9] or ["x"] for _ in range(4)]
+        made, share = refine.template(members)
+        kept = [t for t in made if t is not None]
+        for m in members:
+            at = iter(m)
+            assert all(t in at for t in kept)
+        assert 0 <= share <= 1.5
+    assert refine.template([["a", "b", "c"], ["a", "x", "c"]]) == (["a", None, "c"], 2 / 3)
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "src/sub").mkdir(parents=True)
+    (tmp_path / "target").mkdir()
+    for name, text in {"src/a.rs": "fn a() {}", "src/sub/b.py": "x = 1", "src/c.bin": "no", "target/d.rs": "no", "README.md": "# é"}.items():
+        (tmp_path / name).write_text(text)
+    got = {r.path: (r.language, r.size) for r in readers.collect_files(spark, f"file://{tmp_path}", ["^target/"]).collect()}
+    assert got == {"src/a.rs": ("rust", 9), "src/sub/b.py": ("python", 5), "README.md": ("markdown", 4)}
+    rows = spark.createDataFrame([(2, "b", None), (1, "a", 3)], "k bigint, t string, n int")
+    readers.write_text_store(rows, f"{tmp_path}/store")
+    assert readers.read_declared(spark, f"{tmp_path}/store", "k bigint, t string").orderBy("k").collect() == rows.select("k", "t").orderBy("k").collect()
+    with pytest.raises(ValueError):
+        readers.read_declared(spark, f"{tmp_path}/store", "k string, z int")
+    readers.as_json(rows).write.text(f"{tmp_path}/json")
+    assert readers.read_declared(spark, f"{tmp_path}/json", rows.schema, "json").orderBy("k").collect() == rows.orderBy("k").collect()
+    names = spark.createDataFrame([(1, "x")], "id bigint, value string")
+    edges = spark.createDataFrame([(1, None), (9, 1)], "from_id bigint, to_id bigint")
+    assert sorted(map(str, resolution.decoded(edges, names, ["from", "to"]).collect())) == sorted(map(str, spark.createDataFrame([("x", None), (None, "x")], "`from` string, `to` string").collect()))
+
+
 def test_digest_moves_like_a_fresh_one(spark):
     files = spark.createDataFrame([("r", f"p{k}", str(k), "source" if k % 5 else "deleted", k) for k in range(200)] + [("q", "a", "1", None, 1)], "repo_id string, path string, sha256 string, kind string, k int")
     whole = {r.repo_id: r for r in index.content_digest(files).collect()}

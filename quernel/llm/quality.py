@@ -2,12 +2,13 @@
 
 A text is a sequence of lines; every statistic is a sum over lines, so a chunk of a text reduces to a
 small state that merges associatively with its neighbours' (see ``State``). A chunk may start and end
-inside a line or a word: the state keeps the counts of its unfinished and line apart, with
-the unfinished words at both ends, and a merge finishes the line in the middle. A short line takes the
+inside a line or a word: the state keeps its unfinished first and last line as text, and a merge
+finishes the line in the middle. A short line takes the
 kind of the line before it, so the finished lines are kept once for each kind the line before the chunk
-may have had. Texts over ``CHUNK`` characters are cut in the JVM and their states merged in a tree of
+may have had. A line without a break is put together before it is classified, so a text that is one line is finished by
+one task. Texts over ``CHUNK`` characters are cut in the JVM and their states merged in a tree of
 ``FAN_IN``, while the repeats of their lines are counted by a shuffle on (text, line), so that no state grows
-with its text; shorter texts need no shuffle.
+with the lines of its text; shorter texts need no shuffle.
 """
 
 from __future__ import annotations

@@ -42,7 +42,8 @@ COMMON_WORDS = frozenset(w for text in COMMON.values() for w in text.split())
 #: A line is prose from this share of common words on, over at least so many words.
 PROSE_SHARE, PROSE_WORDS = 0.19, 4
 _WORD = re.compile(r"[^\W\d_][\w]*(?:['’][^\W\d_]+)*|[\d_]+")
-_ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{36,}")
+ENCODED_RUN = 36
+_ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % ENCODED_RUN)
 _QUOTE = re.compile(r"^\s*(?:>\s?)+")
 _CODE = re.compile(r"`[^`\n]{1,120}`")
 _LIST = re.compile(r"^\s*(?:[-*+•·–—]+|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]\])\s+")
@@ -51,6 +52,7 @@ _KEY = re.compile(r"^\s*[\w.$-]+\s*[:=]\s*\S")
 _GARBLED = re.compile("[\u0080-\u009f\u00a2\u00a4\u00a6\u00a7\u00a8\u00a9\u00ac\u00ae\u00af\u00b0-\u00b8\u00bc-\u00be\u20ac\u2122\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u02c6\u02dc\ufffd\u00c2\u00c3\u00e2\u00d0\u00d1\u00cc\u00cb]")
 _MACHINE = re.compile(r"^\s*(?:at\s+\S+\s*\(|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|[0-9a-f]{6,16}[: ]\s*(?:[0-9a-f]{2,8}\s+){2})|\[(?:ERROR|WARN|INFO|DEBUG|TRACE)\]")
 _CSV = re.compile(r"[\w\"'.)-][,;](?=[\w\"'(.-])")
+_SYMBOL = re.compile(r"[\W_]")
 _SPLIT = re.compile(r"\S+")
 
 KINDS = ("prose", "list", "table", "junk")
@@ -59,25 +61,38 @@ PROSE, LIST, TABLE, JUNK = range(4)
 NONE, AFTER_PROSE, AFTER_OTHER = range(3)
 
 
-def classify(line: str, before: int) -> tuple[int, int]:
-    """Kind of a non-blank line after a line of the given kind, and the kind the next line sees."""
+def _words(text: str) -> list[str]:
+    return [w for w in _WORD.findall(text) if w[0].isalpha()]
+
+
+def classify(line: str, before: int, words: list[str] | None = None, lower: list[str] | None = None, solid: int = 0) -> tuple[int, int]:
+    """Kind of a non-blank line after a line of the given kind, and the kind the next line sees.
+
+    ``words``, ``lower`` and ``solid``: the line's words, in lower case too, and its number of non-blank characters, where the caller has them.
+    """
     quote = _QUOTE.match(line)
     bare = line[quote.end() :] if quote else line
     if not bare.strip():
         return PROSE, NONE
-    text = _CODE.sub(" ", bare)
-    words = [w for w in _WORD.findall(text) if w[0].isalpha()]
-    common = sum(w.lower() in COMMON_WORDS for w in words) + sum(w.split("'")[0].lower() in COMMON_WORDS for w in words if "'" in w and w.lower() not in COMMON_WORDS)
-    solid = len("".join(text.split())) or 1
+    text = bare
+    if "`" in bare:
+        text = _CODE.sub(" ", bare)
+    if words is None or quote or text is not bare:
+        words, solid = _words(text), len("".join(text.split()))
+        lower = [w.lower() for w in words]
+    common = sum(map(COMMON_WORDS.__contains__, lower))
+    if "'" in text:
+        common += sum(w.split("'")[0] in COMMON_WORDS for w in lower if "'" in w and w not in COMMON_WORDS)
+    solid = solid or 1
     letters = sum(map(len, words))
-    garbled = len(_GARBLED.findall(text))
-    encoded = sum(map(len, _ENCODED.findall(text)))
+    garbled = 0 if text.isascii() else len(_GARBLED.findall(text))
+    encoded = sum(map(len, _ENCODED.findall(text))) if solid >= ENCODED_RUN and max(map(len, text.split())) >= ENCODED_RUN else 0
     marked = _LIST.match(bare)
-    if garbled > 0.08 * solid and garbled >= 4 or 2 * encoded > solid or _MACHINE.search(bare):
+    if garbled > 0.08 * solid and garbled >= 4 or 2 * encoded > solid or _MACHINE.match(bare):
         return JUNK, AFTER_OTHER
     if bare.count("|") >= 2 and (bare.lstrip()[0] == "|" or bare.count("|") >= 3) or bare.count("\t") >= 2:
         return TABLE, AFTER_OTHER
-    if len(_CSV.findall(bare)) >= 3:
+    if bare.count(",") + bare.count(";") >= 3 and len(_CSV.findall(bare)) >= 3:
         return TABLE, AFTER_OTHER
     if len(words) >= PROSE_WORDS and common >= PROSE_SHARE * len(words) and letters >= 0.62 * solid:
         return PROSE, AFTER_PROSE
@@ -106,11 +121,13 @@ def classify(line: str, before: int) -> tuple[int, int]:
 SUMS = ("n_chars", "n_words", "word_chars", "n_symbols", "n_solid", "n_common", "n_lines", "n_punct_lines")
 
 
-def _sums(text: str) -> list[int]:
+def _sums(text: str, words: list[str] | None = None, lower: list[str] | None = None) -> list[int]:
     """Sums over finished words and characters of a piece of one or more lines; lines are counted elsewhere."""
-    words = [w for w in _WORD.findall(text) if w[0].isalpha()]
+    if words is None:
+        words = _words(text)
+        lower = [w.lower() for w in words]
     solid = "".join(text.split())
-    return [len(text), len(words), sum(map(len, words)), sum(not c.isalnum() for c in solid), len(solid), sum(w.lower() in COMMON_WORDS for w in words), 0, 0]
+    return [len(text), len(words), sum(map(len, words)), len(_SYMBOL.findall(solid)), len(solid), sum(map(COMMON_WORDS.__contains__, lower)), 0, 0]
 
 
 class State:
@@ -134,7 +151,9 @@ class State:
 
     def _finish(self, line: str) -> None:
         """Add a whole line."""
-        sums = _sums(line)
+        words = _words(line)
+        lower = [w.lower() for w in words]
+        sums = _sums(line, words, lower)
         sums[0] += 1
         bare = line.strip()
         if bare:
@@ -147,7 +166,7 @@ class State:
             if not bare:
                 own[1] = NONE
             else:
-                kind, after = cache.setdefault(own[1], None) or classify(line, own[1])
+                kind, after = cache.setdefault(own[1], None) or classify(line, own[1], words, lower, sums[4])
                 cache[own[1]] = kind, after
                 own[0][kind] += sums[4]
                 own[1] = after

@@ -78,6 +78,13 @@ def text_hits(files: DataFrame, symbols: DataFrame, texts: DataFrame, needle: st
     return best.select("file_id", "match", F.when(F.col("match") == "symbol match", F.col("symbol")).alias("symbol"), "rank")
 
 
+def reconciled(graph_rows: DataFrame, text_rows: DataFrame) -> DataFrame:
+    """(path, line, found): places (path, line) that the graph and a text search both know (``matched``), or only one of them (``graph_only``, ``text_only``)."""
+    a, b = graph_rows.select("path", "line").distinct().withColumn("g", F.lit(True)), text_rows.select("path", "line").distinct().withColumn("t", F.lit(True))
+    found = F.when(F.col("t").isNull(), "graph_only").when(F.col("g").isNull(), "text_only").otherwise("matched")
+    return a.join(b, ["path", "line"], "full_outer").select("path", "line", found.alias("found"))
+
+
 def commits_for_paths(changes: DataFrame, commits: DataFrame, paths: DataFrame, budget: int) -> DataFrame:
     """(path, hash, rank): the newest ``budget`` commits of each asked path, so that a busy path takes no room from others."""
     rows = changes.join(F.broadcast(paths.select("path").distinct()), "path").join(commits, "hash")
@@ -126,6 +133,11 @@ def _paths(s, d):
     return commits_for_paths(file_changes(s, d), commits(s, d), table(s, d, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("path")), 4)
 
 
+def _against(s, d):
+    chunks = table(s, d, "chunks").select(F.col("file_id").alias("path"), F.col("start_line").alias("line"), "id").where("path is not null and line is not null")
+    return reconciled(chunks.where("id % 3 <> 0"), chunks.where("id % 4 <> 0"))
+
+
 def _exports(s, d):
     i = F.col("id")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("impl", "function", "method", "struct")]), (i % 4 + 1).cast("int"))
@@ -139,6 +151,7 @@ QUERIES = {
     "impact_sections": lambda s, d: sections(_lanes(s, d), 20),
     "text_hits": _hits,
     "commits_for_paths": _paths,
+    "graph_against_text": _against,
     "exported_surface": _exports,
 }
 
@@ -163,6 +176,8 @@ SELECT * FROM r WHERE rank <= 60 UNION ALL SELECT '', '', 'completeness', 'more
 n AS (SELECT file_id, max(symbol_path) AS symbol FROM c WHERE contains(lower(symbol_path), 'shard') GROUP BY 1), r AS (SELECT f.*, n.symbol, contains(lower(path), 'shard') AS p FROM f LEFT JOIN n USING (file_id) WHERE contains(lower(path), 'shard') OR n.symbol IS NOT NULL OR f.file_id IN (SELECT file_id FROM t)),
 k AS (SELECT file_id, CASE WHEN p THEN 'path match' WHEN symbol IS NOT NULL THEN 'symbol match' ELSE 'chunk text match' END AS match, CASE WHEN NOT p THEN symbol END AS symbol, CAST(row_number() OVER (ORDER BY kind, path, file_id) AS INTEGER) AS rank FROM r) SELECT * FROM k WHERE rank <= 80""",
         "commits_for_paths": f"WITH commits AS ({SQL_COMMITS}), changes AS ({SQL_CHANGES}) SELECT path, hash, CAST(row_number() OVER (PARTITION BY path ORDER BY authored_at_s DESC, hash) AS INTEGER) AS rank FROM changes JOIN commits USING (hash) WHERE path IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) QUALIFY row_number() OVER (PARTITION BY path ORDER BY authored_at_s DESC, hash) <= 4",
+        "graph_against_text": """WITH a AS (SELECT DISTINCT file_id AS path, start_line AS line FROM chunks WHERE id % 3 <> 0 AND file_id IS NOT NULL AND start_line IS NOT NULL), b AS (SELECT DISTINCT file_id AS path, start_line AS line FROM chunks WHERE id % 4 <> 0 AND file_id IS NOT NULL AND start_line IS NOT NULL)
+SELECT coalesce(a.path, b.path) AS path, coalesce(a.line, b.line) AS line, CASE WHEN b.path IS NULL THEN 'graph_only' WHEN a.path IS NULL THEN 'text_only' ELSE 'matched' END AS found FROM a FULL JOIN b ON a.path = b.path AND a.line = b.line""",
         "exported_surface": f"""WITH {files}, s AS (SELECT DISTINCT id AS symbol_id, file_id, symbol_path AS name, CASE id % 4 WHEN 0 THEN 'impl' WHEN 1 THEN 'function' WHEN 2 THEN 'method' ELSE 'struct' END AS kind, start_byte - CASE WHEN id % 4 = 0 THEN 900 ELSE 0 END AS a, end_byte + CASE WHEN id % 4 = 0 THEN 900 ELSE 0 END AS b FROM chunks WHERE symbol_path IS NOT NULL),
 x AS (SELECT path, f.kind AS fk, name, CASE WHEN s.kind = 'impl' THEN 'rust_exported_impl' ELSE 'rust_export' END AS reason FROM s JOIN f USING (file_id) WHERE symbol_id % 3 = 0 AND language = 'rust'
 UNION SELECT path, f.kind, m.name, 'rust_impl_member' FROM s i JOIN f USING (file_id) JOIN s m ON m.file_id = i.file_id AND m.a > i.a AND m.b < i.b WHERE i.symbol_id % 3 = 0 AND i.kind = 'impl' AND m.kind IN ('function', 'method') AND language = 'rust'

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.exprs import is_generated_path, is_test_path
+from quernel.plans.intervals import contained
 from quernel.sources.tables import table
 
 #: Lines of a chunk of plain text, of a symbol's part, of a part of what no symbol covers; bytes from which a source isn't cut by symbols;
@@ -171,10 +172,12 @@ def consolidate(stores: dict[str, DataFrame]) -> DataFrame:
 
 
 def enclosed(chunks: DataFrame) -> DataFrame:
-    """(outer_id, inner_id): chunks of one file whose lines lie within the other's, strictly fewer."""
-    a = chunks.select("file_id", F.col("id").alias("outer_id"), F.col("start_line").alias("a"), F.col("end_line").alias("b")).distinct()
-    c = chunks.select("file_id", F.col("id").alias("inner_id"), F.col("start_line").alias("c"), F.col("end_line").alias("d")).distinct()
-    return a.join(c, "file_id").where("a <= c and d <= b and (d - c) < (b - a)").select("outer_id", "inner_id")
+    """(inner_id, outer_id): for each chunk the shortest other chunk of its file that has all its lines and more (ties: the smaller id)."""
+    rows = chunks.select("file_id", "id", "start_line", "end_line").distinct()
+    inner = rows.select("file_id", F.col("id").alias("inner_id"), F.col("start_line").alias("a"), (F.col("end_line") + 1).alias("b"))
+    outer = rows.select("file_id", F.col("id").alias("outer_id"), F.col("start_line").alias("lo"), (F.col("end_line") + 1).alias("hi"))
+    pairs = contained(inner, outer, "file_id").where("hi - lo > b - a")
+    return pairs.groupBy("inner_id").agg(F.min_by("outer_id", F.struct(F.col("hi") - F.col("lo"), F.col("outer_id"))).alias("outer_id"))
 
 
 def line_overlaps(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -275,7 +278,7 @@ SELECT chunk_id, policy, CASE WHEN policy <> 'Embed' THEN 9 WHEN symbol_path IS
 SELECT p.id, CAST(p.place - q.place AS INTEGER) AS offset, (SELECT decode(max(blob)) FROM chunk_text t WHERE t.chunk_id = p.id) AS text FROM p JOIN p q ON q.id = 5 WHERE abs(p.place - q.place) <= 2""",
     "orphan_chunks": f"{_FILES} SELECT DISTINCT c.id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = c.file_id AND f.id % 10 <> 0 AND f.kind IS DISTINCT FROM 'deleted')",
     "treemap": f"{_FILES}, z AS (SELECT file_id, max(end_line) AS lines FROM chunks GROUP BY file_id) SELECT repo_id, string_split(path, '/')[1] AS dir, count(*) AS n_files, CAST(sum(coalesce(lines, 0)) AS BIGINT) AS n_lines FROM f LEFT JOIN z ON z.file_id = f.id GROUP BY ALL",
-    "enclosed_chunks": "WITH c AS (SELECT DISTINCT id, file_id, start_line - id % 5 AS start_line, end_line + id % 7 AS end_line FROM chunks) SELECT a.id AS outer_id, b.id AS inner_id FROM c a JOIN c b ON a.file_id = b.file_id AND a.start_line <= b.start_line AND b.end_line <= a.end_line AND b.end_line - b.start_line < a.end_line - a.start_line",
+    "enclosed_chunks": "WITH c AS (SELECT DISTINCT id, file_id, start_line - id % 5 AS start_line, end_line + id % 7 AS end_line FROM chunks) SELECT b.id AS inner_id, arg_min(a.id, (a.end_line - a.start_line, a.id)) AS outer_id FROM c a JOIN c b ON a.file_id = b.file_id AND a.start_line <= b.start_line AND b.end_line <= a.end_line AND b.end_line - b.start_line < a.end_line - a.start_line GROUP BY b.id",
     "line_overlaps": "WITH c AS (SELECT DISTINCT id, file_id, start_line, end_line FROM chunks), r AS (SELECT DISTINCT id AS file_id, id % 40 AS lo, id % 40 + 30 AS hi FROM files) SELECT id, count(*) AS n_ranges FROM c JOIN r USING (file_id) WHERE start_line <= hi AND end_line >= lo GROUP BY id",
     "language_histogram": f"{_FILES} SELECT repo_id, language, kind, count(*) AS n_files FROM f GROUP BY ALL",
 }

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from quernel.operators.evidence import ratio
 from quernel.operators.index import latest
 from quernel.plans.cluster import spill_table
+from quernel.plans.intervals import contained
 from quernel.plans.ranks import top_ranked
 from quernel.sources.tables import table
 
-#: Lengths below 2 ** 6 share a level of the containment join; no source file has 2 ** 31 bytes.
-FIRST_LEVEL, LAST_LEVEL = 6, 31
 LOW = ("NameOnly", "Ambiguous")
 SITES = 25
 
@@ -21,19 +20,11 @@ def containing(tokens: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(edge_id, symbol, start_byte, end_byte): the occurrence of each token (edge_id, path, token_start, token_end).
 
     It holds the whole token; a module's only counts where it bounds the token exactly. References come before definitions, then the
-    shortest (ties: first byte, symbol). Occurrences are indexed by dyadic cells of about their own length, two at most, and a token
-    asks one cell a level, so a file of n tokens and m occurrences costs neither n x m rows nor a nested loop.
+    shortest (ties: first byte, symbol). See ``plans.intervals`` for how they meet.
     """
-    length = F.col("end_byte") - F.col("start_byte")
-    level = F.greatest(F.ceil(F.log2(length.cast("double"))).cast("int"), F.lit(FIRST_LEVEL))
-    occ = occurrences.where((length > 0) & F.col("path").isNotNull()).withColumn("level", level)
-    cells = F.array_distinct(F.array(F.expr("shiftright(start_byte, level)"), F.expr("shiftright(end_byte - 1, level)")))
-    occ = occ.withColumn("cell", F.explode(cells))
-    used = sorted(r.level for r in occ.select("level").distinct().collect())  # at most the levels there are
-    rows = tokens.where("token_start is not null and token_end is not null").withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]) if used else F.array().cast("array<int>")))
-    rows = rows.withColumn("cell", F.expr("shiftright(token_start, level)"))
-    bounds = (F.col("start_byte") == F.col("token_start")) & (F.col("end_byte") == F.col("token_end"))
-    held = rows.join(occ, ["path", "level", "cell"]).where((F.col("start_byte") <= F.col("token_start")) & (F.col("token_end") <= F.col("end_byte")) & (bounds | ~F.col("is_module")))
+    asked = tokens.select("edge_id", "path", F.col("token_start").alias("a"), F.col("token_end").alias("b"))
+    held = contained(asked, occurrences.withColumn("lo", F.col("start_byte")).withColumn("hi", F.col("end_byte")), "path")
+    held = held.where(((F.col("lo") == F.col("a")) & (F.col("hi") == F.col("b"))) | ~F.col("is_module"))
     order = F.struct(F.col("is_definition").cast("int"), F.col("end_byte") - F.col("start_byte"), F.col("start_byte"), F.col("symbol"))
     best = held.groupBy("edge_id").agg(F.min_by(F.struct("symbol", "start_byte", "end_byte"), order).alias("o"))
     return best.select("edge_id", "o.symbol", "o.start_byte", "o.end_byte")

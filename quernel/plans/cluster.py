@@ -48,8 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quernel/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/quernel/{spark.sparkContext.applicationId}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has spilled and published there; only once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spill_table(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:

@@ -109,6 +109,27 @@ def test_containment_equals_brute_force(spark):
         verdicts.report_delta(spark.range(1), dict.fromkeys(verdicts.PROFILE, 1), spark.range(1), dict.fromkeys(verdicts.PROFILE, 2))
 
 
+def test_enclosing_chunks(spark):
+    rng = random.Random(11)
+    rows = [(k, rng.randint(1, 3), a := rng.randint(1, 900), a + rng.choice([0, 1, 5, 70, 400])) for k in range(200)] + [(900, None, 1, 2), (901, 1, None, 5)]
+    want = {}
+    for i, f, a, b in rows:
+        held = [(y - x, j) for j, g, x, y in rows if g == f and None not in (f, a, x) and x <= a and b <= y and y - x > b - a]
+        if held:
+            want[i] = min(held)[1]
+    got = index.enclosed(spark.createDataFrame(rows, "id bigint, file_id bigint, start_line int, end_line int"))
+    assert {r.inner_id: r.outer_id for r in got.collect()} == want
+    assert index.enclosed(spark.createDataFrame([], "id bigint, file_id bigint, start_line int, end_line int")).count() == 0
+
+
+def test_scratch_is_deleted(spark):
+    from quernel.plans import cluster
+
+    cluster.spill_table(spark.range(3), "a").count()
+    cluster.clean_scratch(spark)
+    assert cluster.spill_table(spark.range(3), "a").count() == 3
+
+
 def test_clique_cover():
     assert refine.clique_cover([(1, 2, 0.9), (2, 3, 0.8), (1, 3, 0.7), (3, 4, 0.95), (4, 4, 1.0)]) == [(1, 2, 3), (3, 4)]
     rng = random.Random(2)

@@ -1,26 +1,22 @@
-"""Clone detection on token bags: exact classes, prefix-filtered candidates, overlap verification, classes.
+"""Clone detection on token bags: exact classes, candidates by sketches, overlap verification, classes.
 
-A clone pair shares at least ceil(theta * longer length) tokens, repeats counted. Two bags of that overlap
-share a token among the first len - ceil(theta * len) + 1 occurrences of each in the order of rising document
-frequency, so joining those prefixes loses no pair. No token is capped: prefixes hold the rarest tokens.
+A clone pair shares at least ceil(theta * longer length) tokens, repeats counted. Candidates come from ``sketches``, whose bound
+loses no pair; prefixes of rare tokens are no use here, since even the rarest tokens of a text are in a tenth of all texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions.exprs import terms
 from quernel.operators.graph import connected_components
+from quernel.operators.sketches import likely_pairs, sketched, verified, with_texts
 from quernel.plans.cluster import spill_table
 from quernel.sources.tables import table
 
 THETA, LEAST_TOKENS = 0.7, 20
-#: Words of 64 marks in a bag's signature.
-WORDS = 8
 
 
 def check_theta(theta: float) -> float:
@@ -47,49 +43,33 @@ def bags(prints: DataFrame) -> DataFrame:
     return own.select("r.id", "language", "r.n_tokens", F.explode("r.tokens").alias("token")).groupBy("id", "language", "n_tokens", "token").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def clone_pairs(bagged: DataFrame, theta: float = THETA, changed: DataFrame | None = None) -> DataFrame:
-    """(id_a, id_b, overlap, n_a, n_b), id_a < id_b, of one language: the verified pairs of class representatives.
+def class_marks(prints: DataFrame) -> DataFrame:
+    """(id, language, n_tokens, sketch): one text per class of equal texts, which its smallest id stands for; no text is shuffled for it."""
+    made = sketched(prints, "struct_hash").groupBy("language", "struct_hash").agg(F.min_by(F.struct("id", "n_tokens", "sketch"), F.col("id")).alias("r"))
+    return spill_table(made.select("r.id", "language", "r.n_tokens", "r.sketch"), "clone-marks")
+
+
+def marked_pairs(marks: DataFrame, texts: DataFrame, theta: float = THETA, changed: DataFrame | None = None) -> DataFrame:
+    """(id_a, id_b, n_a, n_b, overlap), id_a < id_b, of one language: the verified pairs of ``marks`` (see ``class_marks``), whose tokens are in ``texts``.
 
     With ``changed`` (id) only the pairs of which one is changed.
     """
     theta = check_theta(theta)
-    df = bagged.groupBy("language", "token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = bagged.join(df, ["language", "token"])
-    before = F.coalesce(F.sum("freq").over(Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    need = F.ceil(F.lit(theta) * F.col("n_tokens"))
-    prefix = ranked.withColumn("before", before).where(F.col("before") < F.col("n_tokens") - need + 1).select("id", "language", "n_tokens", "token", "freq", (F.col("before") + F.col("freq")).alias("upto"))
-    prefix = spill_table(prefix, "clone-prefixes")
-    side = lambda x: prefix.select("language", "token", F.col("id").alias(f"id_{x}"), F.col("n_tokens").alias(f"n_{x}"), F.col("freq").alias(f"f_{x}"), F.col("upto").alias(f"u_{x}"))
-    most = F.greatest("n_a", "n_b")
-    likely = F.least("n_a", "n_b") >= F.ceil(F.lit(theta) * most)
-    left, right = side("a"), side("b")
-    if changed is not None:  # the first side is the changed one; pairs of two changed texts are taken once
-        mine = changed.select("id").distinct().withColumn("_c", F.lit(True))
-        left = left.join(mine.withColumnRenamed("id", "id_a"), "id_a", "left_semi")
-        right = right.join(mine.withColumnRenamed("id", "id_b"), "id_b", "left")
-        met = left.join(right, ["language", "token"]).where(likely & ((F.col("id_a") < F.col("id_b")) | (F.col("_c").isNull() & (F.col("id_a") > F.col("id_b")))))
-        turn = F.col("id_a") > F.col("id_b")
-        pick = lambda n: F.when(turn, F.col(f"{n}_b")).otherwise(F.col(f"{n}_a"))
-        other = lambda n: F.when(turn, F.col(f"{n}_a")).otherwise(F.col(f"{n}_b"))
-        met = met.select(*[pick(n).alias(f"{n}_a") for n in ("id", "n", "f", "u")], *[other(n).alias(f"{n}_b") for n in ("id", "n", "f", "u")])
+    marks = marks.where(F.col("id").isNotNull())
+    if changed is None:
+        marks = marks.withColumn("changed", F.lit(True))
     else:
-        met = left.join(right, ["language", "token"]).where((F.col("id_a") < F.col("id_b")) & likely)
-    # what is shared in the prefixes and all that can follow the last shared token
-    met = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.sum(F.least("f_a", "f_b")).alias("shared"), F.max("u_a").alias("u_a"), F.max("u_b").alias("u_b"))
-    bound = F.col("shared") + F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
-    pairs = spill_table(met.where(bound >= F.ceil(F.lit(theta) * most)).select("id_a", "id_b", "n_a", "n_b"), "clone-candidates")
-    each = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("freq")), lambda k: F.xxhash64("token", k))
-    whole = bagged.groupBy("id").agg(F.flatten(F.collect_list(each)).alias("bag"))
-    marks = [F.expr(f"aggregate(bag, 0L, (a, x) -> a | if(pmod(x, {WORDS}) = {w}, shiftleft(1L, cast(pmod(shiftright(x, 3), 64) as int)), 0L))").alias(f"w{w}") for w in range(WORDS)]
-    whole = spill_table(whole.select("id", "bag", *marks), "clone-bags-whole")
-    # every mark of one bag that the other lacks stands for an occurrence that isn't shared
-    mark = lambda x: whole.select(F.col("id").alias(f"id_{x}"), *[F.col(f"w{w}").alias(f"{x}{w}") for w in range(WORDS)])
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}{w}")))) for w in range(WORDS)), F.lit(0))
-    able = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a")) >= F.ceil(F.lit(theta) * most)
-    pairs = spill_table(pairs.join(mark("a"), "id_a").join(mark("b"), "id_b").where(able).select("id_a", "id_b", "n_a", "n_b"), "clone-likely")
-    whole = whole.select("id", "bag")
-    both = pairs.join(whole.toDF("id_a", "s"), "id_a").join(whole.toDF("id_b", "t"), "id_b")
-    return both.select("id_a", "id_b", "n_a", "n_b", F.size(F.array_intersect("s", "t")).cast("bigint").alias("overlap")).where(F.col("overlap") >= F.ceil(F.lit(theta) * most))
+        own = changed.select("id").distinct().withColumn("changed", F.lit(True))
+        marks = spill_table(marks.join(own, "id", "left").withColumn("changed", F.coalesce("changed", F.lit(False))), "clone-marks")
+    return spill_table(verified(likely_pairs(marks, theta), texts, theta), "clone-pairs")
+
+
+def clone_pairs(bagged: DataFrame, theta: float = THETA, changed: DataFrame | None = None) -> DataFrame:
+    """The pairs of ``marked_pairs`` from bags (see ``bags``)."""
+    theta = check_theta(theta)
+    repeated = F.flatten(F.collect_list(F.array_repeat("token", F.col("freq").cast("int"))))
+    texts = spill_table(bagged.groupBy("id", "language", "n_tokens").agg(repeated.alias("tokens")), "clone-texts")
+    return marked_pairs(spill_table(sketched(texts), "clone-marks"), texts, theta, changed)
 
 
 def clone_classes(pairs: DataFrame) -> DataFrame:
@@ -123,43 +103,51 @@ def lcs_ratio(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
     What two texts share at both ends is part of some longest subsequence and is cut off first.
     """
-    a, b = prints.select(F.col("id").alias("id_a"), F.col("tokens").alias("s")), prints.select(F.col("id").alias("id_b"), F.col("tokens").alias("t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for s, t in zip(batch.s, batch.t, strict=True):
-                s, t = list(s), list(t)
-                longest, same = max(len(s), len(t), 1), 0
-                low = next((k for k, (x, y) in enumerate(zip(s, t, strict=False)) if x != y), min(len(s), len(t)))
-                s, t, same = s[low:], t[low:], low
-                high = next((k for k, (x, y) in enumerate(zip(reversed(s), reversed(t), strict=False)) if x != y), min(len(s), len(t)))
-                s, t, same = s[: len(s) - high], t[: len(t) - high], same + high
-                out.append((same + lcs_length(s, t)) / longest)
-            yield pd.DataFrame({"id_a": batch.id_a, "id_b": batch.id_b, "fidelity": [round(x, 4) for x in out]})
+    def run(pairs: pd.DataFrame, have: dict) -> pd.DataFrame:
+        out = []
+        for a, b in zip(pairs.id_a.tolist(), pairs.id_b.tolist(), strict=True):
+            s, t = list(have[a]), list(have[b])
+            longest, same = max(len(s), len(t), 1), 0
+            low = next((k for k, (x, y) in enumerate(zip(s, t, strict=False)) if x != y), min(len(s), len(t)))
+            s, t, same = s[low:], t[low:], low
+            high = next((k for k, (x, y) in enumerate(zip(reversed(s), reversed(t), strict=False)) if x != y), min(len(s), len(t)))
+            s, t, same = s[: len(s) - high], t[: len(t) - high], same + high
+            out.append((same + lcs_length(s, t)) / longest)
+        return pd.DataFrame({"id_a": pairs.id_a, "id_b": pairs.id_b, "fidelity": [round(x, 4) for x in out]})
 
-    return pairs.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").mapInPandas(run, "id_a bigint, id_b bigint, fidelity double")
+    return with_texts(pairs, prints, run, "id_a bigint, id_b bigint, fidelity double")
 
 
 def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clone_pairs(spill_table(bags(_prints(spark, sf_dir)), "clone-bags"))
+def stored_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of the documents, written once for queries that read them again."""
+    return spill_table(_prints(spark, sf_dir), "clone-prints")
+
+
+def print_pairs(prints: DataFrame) -> DataFrame:
+    return marked_pairs(class_marks(prints), prints)
 
 
 def q_classes(spark, sf_dir):
-    pairs = spill_table(_pairs(spark, sf_dir), "clone-pairs")
+    pairs = print_pairs(stored_prints(spark, sf_dir))
     return class_metrics(pairs, clone_classes(pairs))
 
 
+def q_fidelity(spark, sf_dir):
+    prints = stored_prints(spark, sf_dir)
+    return lcs_ratio(print_pairs(prints), prints)
+
+
 QUERIES = {
     "clone_exact": lambda s, d: exact_classes(_prints(s, d)),
     "clone_token_df": lambda s, d: bags(_prints(s, d)).groupBy("language", "token").agg(F.count(F.lit(1)).alias("df")),
-    "clone_pairs": lambda s, d: _pairs(s, d),
+    "clone_pairs": lambda s, d: print_pairs(stored_prints(s, d)).select("id_a", "id_b", "n_a", "n_b", "overlap"),
     "clone_classes": q_classes,
-    "clone_fidelity": lambda s, d: lcs_ratio(_pairs(s, d), _prints(s, d)),
+    "clone_fidelity": q_fidelity,
 }
 _F = """WITH f AS (SELECT doc_id AS id, coalesce(lang, '') AS language, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}_-]+'), lambda x: x <> '') AS tokens FROM documents WHERE text IS NOT NULL),
 p AS (SELECT *, len(tokens) AS n_tokens, sha256(array_to_string(tokens, chr(1))) AS struct_hash FROM f WHERE len(tokens) >= 20),

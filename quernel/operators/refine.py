@@ -244,11 +244,16 @@ def clones_of_text(bagged: DataFrame, text: str, language: str, theta: float = T
 def changed_pairs(pairs: DataFrame, bagged: DataFrame, changed: DataFrame, theta: float = THETA) -> DataFrame:
     """The clone pairs after the texts ``changed`` (id) were replaced, added or removed; ``bagged`` holds the bags as they are now.
 
-    Pairs of others stay; pairs of changed texts are found again through their prefixes against all, not by pairing all with all.
+    Pairs of others stay; pairs of changed texts are found again through their sketches against all, not by pairing all with all.
     """
     ids = changed.select("id").distinct()
+    return replaced_pairs(pairs, clone_pairs(bagged, theta, ids), ids)
+
+
+def replaced_pairs(pairs: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
+    """``pairs`` without those of the texts ``changed`` (id), and their ``fresh`` ones."""
+    ids = changed.select("id").distinct()
     kept = pairs.join(ids.withColumnRenamed("id", "id_a"), "id_a", "left_anti").join(ids.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
-    fresh = clone_pairs(bagged, theta, ids)
     return kept.select("id_a", "id_b", "n_a", "n_b", "overlap").unionByName(fresh.select("id_a", "id_b", "n_a", "n_b", "overlap"))
 
 
@@ -261,25 +266,36 @@ def _bags(s, d):
     return spill_table(bags(_prints(s, d)), "clone-bags")
 
 
-def _pairs(s, d):
-    return spill_table(clone_pairs(_bags(s, d)), "clone-pairs")
+def _prints_and_pairs(s, d):
+    prints = clones.stored_prints(s, d)
+    return prints, clones.print_pairs(prints)
+
+
+def _metrics(prints, pairs, s, d):
+    return class_metrics(pairs, spill_table(lcs_ratio(pairs, prints), "clone-fidelity"), prints, table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("module")))
+
+
+def _find(s, d):
+    prints, pairs = _prints_and_pairs(s, d)
+    return find_clones(spill_table(_metrics(prints, pairs, s, d), "clone-metrics"), 40, class_templates(clone_classes(pairs), prints).select("class_id", "share"))
 
 
-def _metrics(s, d):
-    prints = spill_table(_prints(s, d), "clone-prints")
-    pairs = spill_table(clone_pairs(spill_table(bags(prints), "clone-bags")), "clone-pairs")
-    return class_metrics(pairs, lcs_ratio(pairs, prints), prints, table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("module")))
+def _templates(s, d):
+    prints, pairs = _prints_and_pairs(s, d)
+    return class_templates(clone_classes(pairs), prints)
 
 
 def _groups(s, d):
-    return coherent_groups(_pairs(s, d)).select("class_id", "group_no", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return coherent_groups(_prints_and_pairs(s, d)[1]).select("class_id", "group_no", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
 def _delta(s, d):
     """Pairs of the documents of even ids, then changed by those of odd ids: the same as the pairs of all."""
-    every = _bags(s, d)
-    old = clone_pairs(every.where("id % 3 <> 0"))
-    return changed_pairs(old, every, every.where("id % 3 = 0").select("id"))
+    prints = clones.stored_prints(s, d)
+    every = clones.class_marks(prints)
+    changed = every.where("id % 3 = 0").select("id")
+    old = clones.marked_pairs(every.where("id % 3 <> 0"), prints)
+    return replaced_pairs(old, clones.marked_pairs(every, prints, THETA, changed), changed)
 
 
 def _of_text(s, d):
@@ -295,9 +311,9 @@ def _code(s, d):
 
 QUERIES = {
     "clone_groups": _groups,
-    "clone_metrics": _metrics,
-    "find_clones": lambda s, d: find_clones(_metrics(s, d), 40, class_templates(clone_classes(_pairs(s, d)), _prints(s, d)).select("class_id", "share")),
-    "clone_templates": lambda s, d: class_templates(clone_classes(_pairs(s, d)), _prints(s, d)),
+    "clone_metrics": lambda s, d: _metrics(*_prints_and_pairs(s, d), s, d),
+    "find_clones": _find,
+    "clone_templates": _templates,
     "clone_delta": _delta,
     "clones_of_text": _of_text,
     "code_clone_classes": lambda s, d: clones.exact_classes(_code(s, d)),

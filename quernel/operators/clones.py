@@ -6,13 +6,14 @@ loses no pair; prefixes of rare tokens are no use here, since even the rarest to
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions.exprs import terms
 from quernel.operators.graph import connected_components
-from quernel.operators.sketches import likely_pairs, sketched, verified, with_texts
+from quernel.operators.sketches import likely_pairs, numbered, sketched, verified, with_texts
 from quernel.plans.cluster import spill_table
 from quernel.sources.tables import table
 
@@ -98,6 +99,38 @@ def lcs_length(s: list[str], t: list[str]) -> int:
     return len(s) - row.bit_count()
 
 
+def lcs_lengths(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``lcs_length`` of every pair of number arrays, a step of all pairs at a time; the tables are rows of 64-bit words with carries between them."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in zip(*pairs, strict=True)]
+    most = 1 + max(int(x.max(initial=0)) for pair in pairs for x in pair)
+    owner = [np.repeat(np.arange(len(pairs)), n) for n in sizes]
+    keys = [np.concatenate(side) + own * most for side, own in zip(zip(*pairs, strict=True), owner, strict=True)]
+    place = [np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) for own, n in zip(owner, sizes, strict=True)]
+    known, at = np.unique(keys[0], return_inverse=True)
+    wide = max(1, -(-int(sizes[0].max(initial=0)) // 64))
+    masks = np.zeros((wide, len(known) + 1), np.uint64)  # the last is for tokens that the first text hasn't got
+    np.bitwise_or.at(masks, (place[0] // 64, at), np.uint64(1) << (place[0] % 64).astype(np.uint64))
+    spot = np.minimum(np.searchsorted(known, keys[1]), max(len(known) - 1, 0))
+    asked = np.full((int(sizes[1].max(initial=0)), len(pairs)), len(known))
+    asked[place[1], owner[1]] = np.where(known[spot] == keys[1], spot, len(known)) if len(known) else 0
+    row = np.full((wide, len(pairs)), ~np.uint64(0))
+    for step in asked:
+        carry = np.zeros(len(pairs), np.uint64)
+        for w in range(wide):
+            own = row[w]
+            both = own & masks[w][step]
+            total = own + both
+            over = total < own
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            row[w] = total | (own - both)
+    return 64 * wide - np.bitwise_count(row).sum(0, dtype=np.int64)
+
+
+#: Pairs of texts that are stepped through together, the longest of them; longer ones go through big integers.
+LCS_PAIRS, LCS_LONG = 2_048, 768
+
+
 def lcs_ratio(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """(id_a, id_b, fidelity): longest common subsequence of the tokens over the longer text's, whatever their length.
 
@@ -105,16 +138,28 @@ def lcs_ratio(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """
 
     def run(pairs: pd.DataFrame, have: dict) -> pd.DataFrame:
-        out = []
-        for a, b in zip(pairs.id_a.tolist(), pairs.id_b.tolist(), strict=True):
-            s, t = list(have[a]), list(have[b])
-            longest, same = max(len(s), len(t), 1), 0
-            low = next((k for k, (x, y) in enumerate(zip(s, t, strict=False)) if x != y), min(len(s), len(t)))
-            s, t, same = s[low:], t[low:], low
-            high = next((k for k, (x, y) in enumerate(zip(reversed(s), reversed(t), strict=False)) if x != y), min(len(s), len(t)))
-            s, t, same = s[: len(s) - high], t[: len(t) - high], same + high
-            out.append((same + lcs_length(s, t)) / longest)
-        return pd.DataFrame({"id_a": pairs.id_a, "id_b": pairs.id_b, "fidelity": [round(x, 4) for x in out]})
+        texts = numbered(have)
+        same, longest, rest = np.zeros(len(pairs), np.int64), np.ones(len(pairs), np.int64), []
+        for k, (a, b) in enumerate(zip(pairs.id_a.tolist(), pairs.id_b.tolist(), strict=True)):
+            s, t = texts[a], texts[b]
+            longest[k], short = max(len(s), len(t), 1), min(len(s), len(t))
+            other = np.flatnonzero(s[:short] != t[:short])
+            low = int(other[0]) if len(other) else short
+            s, t = s[low:], t[low:]
+            short = min(len(s), len(t))
+            other = np.flatnonzero(s[len(s) - short :] != t[len(t) - short :])
+            high = short - 1 - int(other[-1]) if len(other) else short
+            same[k] = low + high
+            rest.append((s[: len(s) - high], t[: len(t) - high]))
+        size = np.array([max(len(s), len(t)) for s, t in rest], np.int64)
+        order = np.argsort(size, kind="stable")
+        few = order[size[order] <= LCS_LONG]
+        for x in range(0, len(few), LCS_PAIRS):
+            own = few[x : x + LCS_PAIRS]
+            same[own] += lcs_lengths([rest[k] for k in own])
+        for k in order[len(few) :]:
+            same[k] += lcs_length(rest[k][0].tolist(), rest[k][1].tolist())
+        return pd.DataFrame({"id_a": pairs.id_a, "id_b": pairs.id_b, "fidelity": [round(x, 4) for x in (same / longest).tolist()]})
 
     return with_texts(pairs, prints, run, "id_a bigint, id_b bigint, fidelity double")
 

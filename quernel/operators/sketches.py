@@ -26,7 +26,7 @@ LEAST_BITS, MOST_BITS, BAG_BYTES = 128, 65_536, 64
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 12, 1 << 18, 16 << 20
 #: Cells of a matrix of signs; pairs of which the whole sketches are compared at a time.
 TILE, CHUNK = 1 << 19, 1 << 15
-#: Tokens of texts that a part of the pairs reads, a pair counted as some; numbers that ids are spread by; rows that are looked up by a broadcast.
+#: Tokens of texts that a part of the pairs reads, a pair counted as some for each 256 of its length; numbers that ids are spread by; rows that are looked up by a broadcast.
 PART_TOKENS, PAIR_TOKENS, SPREAD, MOST_SENT = 2_000_000, 10, 1_024, 500_000
 
 
@@ -194,7 +194,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame, run, schema: str) -> DataFram
     """
     long = lambda x: F.col(f"n_{x}").cast("bigint") if f"n_{x}" in pairs.columns else F.lit(1).cast("bigint")
     ends = pairs.select(F.col("id_a").alias("id"), long("a").alias("n")).union(pairs.select("id_b", long("b")))
-    sizes = spill_table(ends.groupBy("n").agg((F.count_distinct("id") * F.col("n") + F.count(F.lit(1)) * PAIR_TOKENS).alias("w")), "text-sizes")
+    sizes = spill_table(ends.groupBy("n").agg((F.count_distinct("id") * F.col("n") + F.count(F.lit(1)) * PAIR_TOKENS * (1 + F.floor(F.col("n") / 256))).alias("w")), "text-sizes")
     before = F.coalesce(F.sum("w").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a length
     sizes = broadcast_if_small(sizes.withColumn("before", before), MOST_SENT)
 
@@ -215,12 +215,20 @@ def with_texts(pairs: DataFrame, texts: DataFrame, run, schema: str) -> DataFram
     return keyed.repartition(tasks, "_a", "_b").groupBy("_a", "_b").cogroup(own.repartition(tasks, "_x", "_y").groupBy("_x", "_y")).applyInPandas(part, schema)
 
 
+def numbered(texts: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The tokens of each text as numbers."""
+    if not texts:
+        return {}
+    code = pd.factorize(np.concatenate([np.asarray(t, object) for t in texts.values()]))[0].astype(np.int64)
+    return dict(zip(texts, np.split(code, np.cumsum([len(t) for t in texts.values()])[:-1]), strict=True))
+
+
 def occurrences(texts: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """Each text's bag as the numbers (from 0) of its occurrences; equal ones have equal numbers."""
     if not texts:
         return {}
     sizes = np.array([len(t) for t in texts.values()], np.int64)
-    code = pd.factorize(np.concatenate([np.asarray(t, object) for t in texts.values()]))[0].astype(np.int64)
+    code = np.concatenate(list(numbered(texts).values()))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     code = code[np.lexsort((code, owner))]
     at = np.arange(len(code))

@@ -70,3 +70,19 @@ def test_sketches_differ_in_no_more_bits_than_the_bags_in_occurrences():
 def test_no_texts_give_no_pairs(spark):
     none = clones.fingerprints(spark.createDataFrame([(1, "x", "short"), (2, None, None)], "id bigint, language string, text string"))
     assert clones.clone_pairs(clones.bags(none)).count() == 0 and clones.print_pairs(none).count() == 0
+
+
+def test_lcs_of_many_pairs_equals_the_table(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pairs = [(rng.integers(0, v, a), rng.integers(0, v, b)) for v in (2, 9, 300) for a, b in ((0, 5), (7, 0), (1, 1), (63, 64), (64, 65), (128, 90), (200, 300), (300, 129))]
+    pairs += [(x, x) for x, _ in pairs]
+    assert clones.lcs_lengths(pairs).tolist() == [clones.lcs_length(s.tolist(), t.tolist()) for s, t in pairs]
+    for s, t in pairs[:12]:
+        table = [0] * (len(t) + 1)
+        for x in s:
+            last = 0
+            for k, y in enumerate(t):
+                table[k + 1], last = max(table[k + 1], table[k], last + 1 if x == y else 0), table[k + 1]
+        assert clones.lcs_lengths([(s, t)]).tolist() == [table[-1]]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,13 +19,13 @@ from quernel.plans.cluster import cut, spill_table
 from quernel.plans.ranks import top_ranked
 from quernel.sources.tables import table
 
-#: Cliques of a component after which the rest is covered by pairs; refined classes of an answer; shares of a class that a template covers below which
-#: its return counts less, and what then counts; floors of confidence (fixed values).
-MOST_CLIQUES, MOST_REFINED = 256, 50
+#: Refined classes of an answer; shares of a class that a template covers below which its return counts less, and what then counts; floors of confidence
+#: (fixed values).
+MOST_REFINED = 50
 STRONG_GATE, MILD_GATE, STRONG_KEEPS, MILD_KEEPS = 0.3, 0.5, 0.10, 0.70
 HIGH_FLOOR, LOW_CEILING = 0.9, 0.7
-#: Pairs of a component that are put into one task; the pairs of a larger one are its cliques.
-TASK_PAIRS = 200_000
+#: Links whose places are looked up together; members of groups that leave a task together.
+TURN, SENT = 1 << 16, 1 << 18
 
 
 def normalise(code: str) -> list[str]:
@@ -60,62 +62,98 @@ def code_fingerprints(sources: DataFrame, least: int = clones.LEAST_TOKENS) -> D
     return made.where(F.col("n_tokens") >= least).withColumn("struct_hash", F.sha2(F.concat_ws("\u0001", "tokens"), 256)).select("id", "language", "struct_hash", "n_tokens", "tokens")
 
 
-def clique_cover(pairs: list[tuple[int, int, float]]) -> list[list[int]]:
+def clique_cover(pairs: list[tuple[int, int, float]]) -> list[tuple[int, ...]]:
     """Maximal groups of members that are all linked; a member may be in several.
 
     The most similar pair (ties: the smaller ids) that no group holds starts a group, which takes every member, by id, that is linked to all in it.
-    After ``MOST_CLIQUES`` groups the rest is covered by bare pairs, and no group is tested for being part of another.
     """
-    linked: dict[int, set[int]] = {}
-    best: dict[tuple[int, int], float] = {}
-    for a, b, s in pairs:
-        if a != b:
-            best[min(a, b), max(a, b)] = s
-            linked.setdefault(a, set()).add(b)
-            linked.setdefault(b, set()).add(a)
-    groups: list[list[int]] = []
-    held: dict[int, set[int]] = {}
-    covered: set[int] = set()
-    for (a, b), _ in sorted(best.items(), key=lambda x: (-x[1], x[0])):
-        if len(groups) > MOST_CLIQUES:
-            if a not in covered or b not in covered:
-                groups.append([a, b])
-                covered |= {a, b}
-            continue
-        if held.get(a, set()) & held.get(b, set()):
-            continue
-        group, shared = [a, b], linked[a] & linked[b]
-        while shared:
-            m = min(shared)
-            group.append(m)
-            shared = shared & linked[m]
-        for m in group:
-            held.setdefault(m, set()).add(len(groups))
-        covered |= set(group)
-        groups.append(sorted(group))
-    if len(groups) <= MOST_CLIQUES:
-        sets = [set(g) for g in groups]
-        groups = [g for g, own in zip(groups, sets, strict=True) if not any(len(o) > len(own) and own < o for o in sets)]
-    return sorted({tuple(g) for g in groups})
+    a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    return [tuple(g.tolist()) for g in grown_cliques(a, b, np.array([p[2] for p in pairs], np.float64))]
 
 
-def coherent_groups(pairs: DataFrame) -> DataFrame:
-    """(class_id, group_no, members): the clique cover of every component of verified pairs (id_a, id_b, overlap, n_a, n_b).
+def grown_cliques(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> Iterator[np.ndarray]:
+    """The groups of ``clique_cover`` in their order, of links given as arrays; memory is in proportion to the links and the groups.
 
-    A component of up to ``TASK_PAIRS`` pairs is covered in one task; of a larger one each pair is a group, so no task holds it.
+    A link is done once a group holds both of its ends, so each group is another clique that no member extends, and none is part of another.
     """
-    scored = pairs.select("id_a", "id_b", (F.col("overlap") / F.greatest("n_a", "n_b")).alias("s"))
-    rows = scored.join(clone_classes(pairs).withColumnRenamed("id", "id_a"), "id_a")
-    sizes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(sizes, "class_id")
+    ids = np.unique(np.concatenate([a, b]))
+    m = len(ids)
+    link = np.searchsorted(ids, np.minimum(a, b)) * m + np.searchsorted(ids, np.maximum(a, b))
+    link, last = np.unique(link[::-1], return_index=True)  # the last of equal pairs counts
+    s = s[::-1][last]
+    other = link // m != link % m
+    link = link[other][np.argsort(-s[other], kind="stable")]
+    both = np.concatenate([link, link % m * m + link // m])
+    both.sort()
+    near, start = (both % m).astype(np.int32), np.searchsorted(both, np.arange(m + 1) * m).tolist()
+    done = np.zeros(len(both), bool)
+
+    def common(some: np.ndarray, x: int) -> np.ndarray:
+        row = near[start[x] : start[x + 1]]
+        return some[row.take(row.searchsorted(some), mode="clip") == some]
+
+    groups: list[bytes] = []
+    for k in range(0, len(link), TURN):
+        turn = link[k : k + TURN]
+        at = np.searchsorted(both, turn)
+        fresh = ~done[at]
+        for place, own in zip(at[fresh].tolist(), turn[fresh].tolist(), strict=True):
+            if done[place]:
+                continue
+            group = [*divmod(own, m)]
+            shared = common(near[start[group[0]] : start[group[0] + 1]], group[1])
+            while len(shared):
+                group.append(int(shared[0]))
+                shared = common(shared[1:], group[-1])
+            held = np.array(sorted(group), np.int32)
+            for n, x in enumerate(held[:-1].tolist(), 1):
+                done[start[x] + near[start[x] : start[x + 1]].searchsorted(held[n:])] = True
+            groups.append(held.astype(">u4").tobytes())  # in the order of the members
+    groups.sort()
+    for g in groups:
+        yield ids[np.frombuffer(g, ">u4")]
+
+
+def keyed_parts(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[int, Iterator[pd.DataFrame]]]:
+    """Each value of ``key`` with its rows in parts, of batches that are sorted by it."""
+
+    def parts() -> Iterator[tuple[int, pd.DataFrame]]:
+        for b in batches:
+            k = b[key].to_numpy()
+            ends = [*(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(b)]
+            yield from ((k[x], b.iloc[x:y]) for x, y in zip([0, *ends], ends, strict=False) if x < y)
+
+    for value, own in groupby(parts(), lambda x: x[0]):
+        yield value, (part for _, part in own)
+
 
-    def cover(own: pd.DataFrame) -> pd.DataFrame:
-        groups = clique_cover(list(zip(own.id_a.tolist(), own.id_b.tolist(), own.s.tolist(), strict=True)))
-        return pd.DataFrame({"class_id": own.class_id.iloc[0], "group_no": range(len(groups)), "members": [list(g) for g in groups]})
+def by_class(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with those of a class in one task, one after the other and in ``order``; small classes aren't all put into one task."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "class_id").sortWithinPartitions("class_id", *order)
 
-    few = rows.where(F.col("n") <= TASK_PAIRS).groupBy("class_id").applyInPandas(cover, "class_id bigint, group_no bigint, members array<bigint>")
-    many = rows.where(F.col("n") > TASK_PAIRS).select("class_id", F.xxhash64("id_a", "id_b").alias("group_no"), F.array("id_a", "id_b").alias("members"))
-    return few.unionByName(many)
+
+def coherent_groups(pairs: DataFrame) -> DataFrame:
+    """(class_id, group_no, members): the clique cover of every component of verified pairs (id_a, id_b, overlap, n_a, n_b), numbered by members.
+
+    One task covers a component of any size and holds its pairs as arrays.
+    """
+    scored = pairs.select("id_a", "id_b", (F.col("overlap") / F.greatest("n_a", "n_b")).alias("s"))
+    rows = scored.join(clone_classes(pairs).withColumnRenamed("id", "id_a"), "id_a").select("class_id", "id_a", "id_b", "s")
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        for c, own in keyed_parts(batches, "class_id"):
+            a, b, s = (np.concatenate(x) for x in zip(*((p.id_a.to_numpy(), p.id_b.to_numpy(), p.s.to_numpy()) for p in own), strict=True))
+            for k, g in enumerate(grown_cliques(a, b, s)):
+                out.append((c, k, g))
+                held += len(g)
+                if held >= SENT:
+                    yield pd.DataFrame(out, columns=["class_id", "group_no", "members"])
+                    out, held = [], 0
+        yield pd.DataFrame(out, columns=["class_id", "group_no", "members"])
+
+    return by_class(rows).mapInPandas(cover, "class_id bigint, group_no bigint, members array<bigint>")
 
 
 def template(members: list[list[str]]) -> tuple[list[str | None], float]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -156,45 +156,49 @@ def coherent_groups(pairs: DataFrame) -> DataFrame:
     return by_class(rows).mapInPandas(cover, "class_id bigint, group_no bigint, members array<bigint>")
 
 
-def template(members: list[list[str]]) -> tuple[list[str | None], float]:
+def template(members: Iterable[list[str]]) -> tuple[list[str | None], float]:
     """What all members share in order, with None where some of them differ, and its share of the median member.
 
     The first member is reduced to what it has in common with each other one in turn (by longest matching blocks), so the template is a subsequence of all.
+    Members are read once; only the first one and all lengths are kept.
     """
     from difflib import SequenceMatcher
 
-    kept = list(range(len(members[0])))
-    for other in members[1:]:
-        own = [members[0][k] for k in kept]
-        kept = [kept[b.a + n] for b in SequenceMatcher(None, own, other, autojunk=False).get_matching_blocks() for n in range(b.size)]
+    members = iter(members)
+    first = list(next(members))
+    kept, sizes = list(range(len(first))), [len(first)]
+    for other in members:
+        sizes.append(len(other))
+        if kept:  # else nothing is left to be reduced
+            own = [first[k] for k in kept]
+            kept = [kept[b.a + n] for b in SequenceMatcher(None, own, list(other), autojunk=False).get_matching_blocks() for n in range(b.size)]
     out: list[str | None] = []
     last = -1
     for k in kept:
         if k > last + 1:
             out.append(None)
-        out.append(members[0][k])
+        out.append(first[k])
         last = k
-    if last < len(members[0]) - 1:
+    if last < len(first) - 1:
         out.append(None)
-    median = sorted(map(len, members))[len(members) // 2]
+    median = sorted(sizes)[len(sizes) // 2]
     return out, len(kept) / median if median else 0.0
 
 
-def class_templates(classes: DataFrame, prints: DataFrame, members: int = 50) -> DataFrame:
-    """(class_id, template, n_holes, share) over the first ``members`` members of every class (id, class_id), by id; holes show as ``\u2026``."""
-    place = Window.partitionBy("class_id").orderBy("id")
-    first = classes.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= members).select("id", "class_id")
-    own = first.join(prints.select("id", "tokens"), "id").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("id", "tokens"))).alias("own"))
+def class_templates(classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """(class_id, template, n_holes, share) over all members of every class (id, class_id), by id; holes show as ``\u2026``.
+
+    A class goes through one task, which holds a batch of its members at a time.
+    """
+    own = classes.select("id", "class_id").join(prints.select("id", "tokens"), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for c, own in zip(b.class_id, b.own, strict=True):
-                made, share = template([list(x["tokens"]) for x in own])
-                out.append((c, " ".join("\u2026" if t is None else t for t in made), made.count(None), round(share, 4)))
-            yield pd.DataFrame(out, columns=["class_id", "template", "n_holes", "share"])
+        for c, parts in keyed_parts(batches, "class_id"):
+            made, share = template(tokens for part in parts for tokens in part.tokens)
+            row = (c, " ".join("\u2026" if t is None else t for t in made), made.count(None), round(share, 4))
+            yield pd.DataFrame([row], columns=["class_id", "template", "n_holes", "share"])
 
-    return own.mapInPandas(run, "class_id bigint, template string, n_holes int, share double")
+    return by_class(own, "id").mapInPandas(run, "class_id bigint, template string, n_holes int, share double")
 
 
 def confidence(fidelity, similarity) -> Column:

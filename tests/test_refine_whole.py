@@ -25,3 +25,17 @@ def test_a_component_of_any_size_is_covered_by_cliques(spark):
     rows = refine.coherent_groups(pairs.select("*", F.lit(9).alias("overlap"), F.lit(10).alias("n_a"), F.lit(10).alias("n_b"))).collect()
     got = sorted((r.class_id, r.group_no, tuple(r.members)) for r in rows)
     assert got == [(0, 0, tuple(range(n))), (0, 1, (n - 1, n)), (1_000, 0, (1_000, 1_001)), (1_000, 1, (1_000, 1_002))]
+
+
+def _class(n):
+    """60 texts of a class, of which those after the 50th have other tokens at the end."""
+    return [(k, [f"t{x}" for x in range(20)] + [f"u{x}{'' if k < 50 else 'z'}" for x in range(80)]) for k in range(n)]
+
+
+def test_templates_read_every_member(spark):
+    rows = [*_class(60), *((100 + k, ["a", "b", "c"][: 2 + (k < 70)]) for k in range(80))]
+    prints = spark.createDataFrame(rows, "id bigint, tokens array<string>")
+    classes = spark.createDataFrame([(k, 0 if k < 60 else 100) for k, _ in rows], "id bigint, class_id bigint")
+    got = {r.class_id: (r.template, r.n_holes, r.share) for r in refine.class_templates(classes, prints.repartition(3)).collect()}
+    assert got == {0: (" ".join(f"t{x}" for x in range(20)) + " …", 1, 0.2), 100: ("a b …", 1, 0.6667)}
+    assert refine.template(iter([["a", "b"], ["c"], ["a", "b"]])) == ([None], 0.0)

@@ -39,3 +39,11 @@ def test_templates_read_every_member(spark):
     got = {r.class_id: (r.template, r.n_holes, r.share) for r in refine.class_templates(classes, prints.repartition(3)).collect()}
     assert got == {0: (" ".join(f"t{x}" for x in range(20)) + " …", 1, 0.2), 100: ("a b …", 1, 0.6667)}
     assert refine.template(iter([["a", "b"], ["c"], ["a", "b"]])) == ([None], 0.0)
+
+
+def test_returns_are_gated_by_templates_of_all_members(spark):
+    prints = spark.createDataFrame(_class(60), "id bigint, tokens array<string>")
+    share = refine.class_templates(prints.select("id", F.lit(0).cast("bigint").alias("class_id")), prints).select("class_id", "share")
+    metrics = spark.createDataFrame([(0, 60, "high", 100.0), (1, 2, "high", 50.0)], "class_id bigint, n_members bigint, confidence string, roi double")
+    got = [(r.class_id, r.refined, r.roi, r["rank"]) for r in refine.find_clones(metrics, 2, share).orderBy("rank").collect()]
+    assert got == [(1, True, 50.0, 1), (0, True, 10.0, 2)]
